@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscale.llm import token_files
+from folioscale.llm import mixing, sharding, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_extendible_shards": sharding.op1_extendible_shards,
+    "op2_temperature_mix": mixing.op2_temperature_mix,
     "op10_token_binary": token_files.op10_token_binary,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_extendible_shards": sharding.OP1_SQL,
+    "op2_temperature_mix": mixing.OP2_SQL,
+}
