@@ -60,7 +60,8 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK, share: float = 0.9) -> tu
     for width in np.unique(widths):
         if width:
             own = np.flatnonzero(widths == width)
-            bits = (diffs[own][:, :, None] >> np.arange(width) & 1).astype(np.uint8)
+            low = (diffs[own] & (1 << int(width)) - 1).astype("<u4")
+            bits = np.unpackbits(low.view(np.uint8).reshape(len(own), block, 4), axis=2, bitorder="little")[:, :, :width]
             _spread(out, at[own] + _HEAD, np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little"))
     if outliers.any():
         row, place_of = np.nonzero(large)
@@ -86,10 +87,14 @@ def decode_blocks(data: np.ndarray, starts: np.ndarray, n: int, block: int = BLO
         if width:
             own = np.flatnonzero(widths == width)
             size = int((block * width + 7) // 8)
-            bits = np.unpackbits(data[at[own][:, None] + _HEAD + np.arange(size)], axis=1, bitorder="little")[:, : block * width]
-            bits = bits.reshape(len(own), block, int(width))
-            for bit in range(int(width)):
-                diffs[own] |= bits[:, :, bit].astype(np.int64) << bit
+            # A value's bits lie in at most five bytes; the end of the row is filled up.
+            rows = np.zeros((len(own), size + 5), np.uint8)
+            rows[:, :size] = data[at[own][:, None] + _HEAD + np.arange(size)]
+            bit = np.arange(block) * int(width)
+            value = np.zeros((len(own), block), np.int64)
+            for byte in range((int(width) + 14) // 8):
+                value |= rows[:, (bit >> 3) + byte].astype(np.int64) << 8 * byte
+            diffs[own] = value >> (bit & 7) & (1 << int(width)) - 1
     if outliers.any():
         row = np.repeat(np.arange(len(at)), outliers)
         rank = np.arange(len(row)) - np.repeat(np.cumsum(outliers) - outliers, outliers)

@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable
 
 #: Parts kept by a worker before it starts anew; at about 200 bytes each.
-KEPT = 500_000
+KEPT = 1_000_000
 _ENCODERS: dict[str, Callable[[list[bytes]], list[bytes]]] = {}
 
 
@@ -35,29 +35,54 @@ def part_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
     parts: dict[bytes, bytes] = {}
     letters: dict[str, bytes] = {}
 
+    ends = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
+    ends[[number for token, number in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
     def learn(missing: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(missing, add_special_tokens=False)]
 
+    def learn_words(words: list[str]) -> list[bytes]:
+        """Ids of words of letters: a word has one end-of-word token, its last, so many are encoded as one text."""
+        runs = [" ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *[np.asarray(x.ids, "<u4") for x in tokenizer.encode_batch_fast(runs, add_special_tokens=False)]])
+        stops = 4 * (np.flatnonzero(ends[ids]) + 1)
+        if len(stops) != len(words):
+            return learn(words)
+        whole, stops = ids.astype("<u4").tobytes(), stops.tolist()
+        return [whole[a:b] for a, b in zip([0, *stops], stops)]  # noqa: B905
+
     def encode(texts: list[bytes]) -> list[bytes]:
         if len(parts) > KEPT:
             parts.clear()
         if len(letters) > KEPT:
             letters.clear()
+        known = parts.get
         split = [x.split() for x in texts]  # of bytes: at ASCII white space only
+        found = [[*map(known, x)] for x in split]
+        gaps = []  # per text, the places of parts met for the first time
+        for ids in found:
+            own, at = [], -1
+            for _ in range(ids.count(None)):
+                own.append(at := ids.index(None, at + 1))
+            gaps.append(own)
+        new = {x[at] for x, own in zip(split, gaps, strict=True) for at in own}
         simple, other = {}, {}
-        for part in {part for x in split for part in x if part not in parts}:
+        for part in new:
             word = part.decode("utf-8", "replace")
             if m := plain(word):
                 simple[part] = (m[1].lower(), m[2])
             else:
                 other[part] = word
         parts.update(zip(other, learn(list(other.values())), strict=True))
-        new = [x for x in {y for pair in simple.values() for y in pair} if x and x not in letters]
-        letters.update(zip(new, learn(new), strict=True))
-        letters[""] = b""
+        missing = [x for x in {word for word, _ in simple.values()} if x not in letters]
+        letters.update(zip(missing, learn_words(missing), strict=True))
+        marks = {mark: learn([mark])[0] if mark else b"" for mark in {mark for _, mark in simple.values()}}
         for part, (word, mark) in simple.items():
-            parts[part] = letters[word] + letters[mark]
-        return [b"".join([parts[part] for part in x]) for x in split]
+            parts[part] = letters[word] + marks[mark]
+        for x, ids, own in zip(split, found, gaps, strict=True):
+            for at in own:
+                ids[at] = parts[x[at]]
+        return [*map(b"".join, found)]
 
     _ENCODERS[path] = encode
     return encode
