@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscale.llm import mixing, sharding, token_files
+from folioscale.llm import mixing, packing, sharding, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extendible_shards": sharding.op1_extendible_shards,
     "op2_temperature_mix": mixing.op2_temperature_mix,
+    "op8_simhash_groups": simhash.op8_simhash_groups,
+    "op9_sum_of_squares": packing.op9_sum_of_squares,
     "op10_token_binary": token_files.op10_token_binary,
 }
 ORACLES: dict[str, str] = {
