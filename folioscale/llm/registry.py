@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscale.llm import mixing, packing, sharding, simhash, token_files
+from folioscale.llm import licenses, mixing, packing, quality, sharding, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extendible_shards": sharding.op1_extendible_shards,
     "op2_temperature_mix": mixing.op2_temperature_mix,
+    "op5_robust_quality": quality.op5_robust_quality,
+    "op6_license_digests": licenses.op6_license_digests,
     "op8_simhash_groups": simhash.op8_simhash_groups,
     "op9_sum_of_squares": packing.op9_sum_of_squares,
     "op10_token_binary": token_files.op10_token_binary,
@@ -18,4 +20,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_extendible_shards": sharding.OP1_SQL,
     "op2_temperature_mix": mixing.OP2_SQL,
+    "op6_license_digests": licenses.OP6_SQL,
 }
