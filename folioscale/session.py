@@ -26,3 +26,12 @@ def local_session(app: str = "folioscale", cores: str = "*", shuffle: int = 8, m
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder (any path that Spark can read)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver has it; clusters ship it as usual."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
