@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscale.llm import licenses, mixing, packing, quality, sharding, simhash, token_files, toxicity
+from folioscale.llm import language_model, licenses, mixing, packing, quality, sharding, simhash, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extendible_shards": sharding.op1_extendible_shards,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_robust_quality": quality.op5_robust_quality,
     "op6_license_digests": licenses.op6_license_digests,
+    "op7_trie_language_model": language_model.op7_trie_language_model,
     "op8_simhash_groups": simhash.op8_simhash_groups,
     "op9_sum_of_squares": packing.op9_sum_of_squares,
     "op10_token_binary": token_files.op10_token_binary,
