@@ -1,16 +1,59 @@
-"""The corpus pipeline: stages over documents, each calling one training-data operator."""
+"""The corpus pipeline: documents judged, cleaned, deduplicated, mixed and packed.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
+of documents. A stage's result is written and read again before the next, so a lost executor costs one stage at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from folioscale.llm import common, mixing, packing, quality, simhash, toxicity
+from folioscale.session import importable
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or are robust outliers go."""
+    return quality.keep_good(docs)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go; the labels are those of the data folder."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays, that with the smallest doc_id."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are repeated towards an even mix, none more than twice; every document stays."""
+    return mixing.mix_sources(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences of 4096 tokens."""
+    return packing.packed_digests(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("simhash near-dedup", near_duplicate_stage),
+    ("temperature mixing", mixing_stage),
+    ("sum-of-squares packing", packing_stage),
+]
+#: Tokenizing, fitted models and packing have no SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
+    importable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = common.cut(docs, "stage")
     return docs
