@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscale.llm import language_model, licenses, mixing, packing, quality, sharding, simhash, token_files, toxicity
+from folioscale.llm import embeddings, language_model, licenses, mixing, packing, quality, sharding, simhash, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extendible_shards": sharding.op1_extendible_shards,
     "op2_temperature_mix": mixing.op2_temperature_mix,
+    "op3_pruned_graph": embeddings.op3_pruned_graph,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_robust_quality": quality.op5_robust_quality,
     "op6_license_digests": licenses.op6_license_digests,
