@@ -200,6 +200,9 @@ def op9_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_digests(docs: DataFrame) -> DataFrame:
-    """Pieces with their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset. The ids themselves are not shuffled."""
+    """Pieces with their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    The pieces are written without their ids first: a task then runs either the tokenizer or the packer, not both.
+    """
     pieces = token_pieces(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(pieces)
+    return pack(common.cut(pieces, "pieces"))

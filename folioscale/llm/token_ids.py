@@ -12,7 +12,7 @@ import re
 from collections.abc import Callable
 
 #: Parts kept by a worker before it starts anew; at about 200 bytes each.
-KEPT = 1_000_000
+KEPT = 400_000
 _ENCODERS: dict[str, Callable[[list[bytes]], list[bytes]]] = {}
 
 
