@@ -66,6 +66,8 @@ NAMES = {
 }
 #: How a notice names its licence.
 FORMS = ["Licensed under {}.", "Licensed under the {}.", "Released under {}.", "Released under the {}.", "Distributed under the {}.", "This work is licensed under {}.", "This work is licensed under the {}.", "This work is licensed under a {}.", "This software is licensed under the {}."]
+#: Every known text holds one of these in its lower-case form, however it is spelled; other texts cannot match.
+ANCHORS = ("licen", "permission")
 WHOLE = [("MIT", _MIT), ("MIT", "MIT License\n" + _MIT), ("ISC", _ISC), ("ISC", "ISC License\n" + _ISC), ("Zlib", _ZLIB), ("Zlib", "zlib License\n" + _ZLIB)]
 
 
@@ -87,20 +89,27 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, extra: list[tuple[str, str]] = ()) -> DataFrame:
-    known = spark.createDataFrame(known_texts() + list(extra), "license_id string, text string")
-    return known.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+def _anchored(text: Column) -> Column:
+    low = F.lower(text)
+    return F.contains(low, F.lit(ANCHORS[0])) | F.contains(low, F.lit(ANCHORS[1]))
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None, text: str = "text") -> DataFrame:
-    """Matches: doc_id, line (0: the whole text), license_id.
+def scan(docs: DataFrame, extra: list[tuple[str, str]] = (), text: str = "text") -> DataFrame:
+    """Matches: doc_id, line (0: the whole text), license_id. extra: more licences as (identifier, text).
 
-    A text of one line can match as a whole and as line 1. Texts whose canonical form is empty, null texts too, match
+    Texts and lines without any anchor are passed over, unless a text of extra has none itself. A text of one line can match as a whole and as line 1. Texts whose canonical form is empty, null texts too, match
     nothing. Repeated rows each give their matches. An empty table has none.
     """
-    known = known if known is not None else known_digests(docs.sparkSession)
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    units = docs.select(F.col("doc_id"), F.posexplode(F.concat(F.array(body), F.split(body, "\n"))).alias("line", "unit"))
+    texts = known_texts() + list(extra)
+    known = docs.sparkSession.createDataFrame(texts, "license_id string, text string")
+    known = known.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    rows = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+    sure = all(any(a in t.lower() for a in ANCHORS) for _, t in texts)
+    if sure:
+        rows = rows.where(_anchored(F.col("body")))
+    units = rows.select("doc_id", F.posexplode(F.concat(F.array("body"), F.split("body", "\n"))).alias("line", "unit"))
+    if sure:
+        units = units.where(_anchored(F.col("unit")))
     canon = units.select("doc_id", "line", canonical(F.col("unit")).alias("canon")).where("canon <> ''")
     return canon.select("doc_id", "line", F.sha2("canon", 256).alias("digest")).join(F.broadcast(known), "digest").select("doc_id", "line", "license_id")  # known: a fixed table
 

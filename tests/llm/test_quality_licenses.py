@@ -138,3 +138,5 @@ def test_licenses(spark):
     got = licenses.scan(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, line string")).collect()
     assert sorted((r.doc_id, r.line, r.license_id) for r in got) == [(1, 2, "CC-BY-NC-4.0"), (2, 0, "MIT"), (2, 1, "MIT"), (3, 0, "MIT"), (8, 0, "Apache-2.0"), (8, 1, "Apache-2.0"), (8, 1, "Apache-2.0"), (8, 2, "GPL-3.0")]
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    own = licenses.scan(spark.createDataFrame([(1, "Do as YOU like!"), (2, "x\nLicensed under CC BY 4.0")], "doc_id long, text string"), [("own", "do as you like")]).collect()
+    assert sorted((r.doc_id, r.line, r.license_id) for r in own) == [(1, 0, "own"), (1, 1, "own"), (2, 2, "CC-BY-4.0")]
