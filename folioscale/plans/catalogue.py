@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscale.operators import gates, ledger, lexical, reading
+from folioscale.operators import budgets, claims, gates, grids, ledger, lexical, reading
 
-_MODULES = [lexical, gates, reading, ledger]
+_MODULES = [lexical, gates, reading, ledger, claims, budgets, grids]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
