@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,12 @@ def importable(spark: SparkSession) -> None:
     known = env.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A fresh folder that driver and executors share: below spark.checkpoint.dir, or an own one where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/folioscale/{kind}-{uuid.uuid4().hex}"
