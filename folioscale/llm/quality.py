@@ -183,23 +183,31 @@ def fit(points: DataFrame, h: float = H) -> DataFrame:
     return common.cut(params.join(best, ["g", "start"]), "robust")
 
 
-def verdicts(rows: DataFrame, h: float = H, tail: float = TAIL) -> DataFrame:
-    """rows (with lang, source and the statistics' columns) with base_failed, distance (squared, null where there is no
-    estimate or the base rules failed) and kept."""
-    p = _P
-    keyed = rows.withColumn("base_failed", base_failed()).withColumn("_l", F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit(""))).withColumn("_s", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
-    keyed = keyed.withColumns({f"x{i}": x.cast("double") for i, x in enumerate(_vector())})
-    good = keyed.where("not base_failed")
+def _keyed(rows: DataFrame) -> DataFrame:
+    """rows (with lang, source and the statistics' columns) with base_failed, group keys and the vector."""
+    keyed = rows.withColumn("base_failed", base_failed())
+    for key, column in (("_l", "lang"), ("_s", "source")):
+        keyed = keyed.withColumn(key, F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("")))
+    return keyed.withColumns({f"x{i}": x.cast("double") for i, x in enumerate(_vector())})
+
+
+def estimates(rows: DataFrame, h: float = H) -> DataFrame:
+    """Robust means and inverse covariances for each language and source of a table of statistics."""
+    good = _keyed(rows).where("not base_failed")
     counts = common.cut(good.groupBy("_l", "_s").agg(F.count("*").alias("n")), "groups")
     small = counts.where(F.col("n") < MIN_GROUP).groupBy("_l").agg(F.sum("n").alias("pool"))
-    groups = counts.join(small, "_l", "left").select("_l", "_s", F.when(F.col("n") >= MIN_GROUP, F.concat_ws("\u0001", F.lit("own"), "_l", "_s")).when(F.col("pool") >= MIN_GROUP, F.concat_ws("\u0001", F.lit("lang"), "_l")).otherwise(F.lit("all")).alias("g"))
-    groups = common.cut(groups, "groups")
-    xs = [f"x{i}" for i in range(p)]
-    points = common.cut(good.join(groups, ["_l", "_s"]).select("g", *xs), "points")
+    own, shared = F.concat_ws("\u0001", F.lit("own"), "_l", "_s"), F.concat_ws("\u0001", F.lit("lang"), "_l")
+    group = F.when(F.col("n") >= MIN_GROUP, own).when(F.col("pool") >= MIN_GROUP, shared).otherwise(F.lit("all"))
+    groups = common.cut(counts.join(small, "_l", "left").select("_l", "_s", group.alias("g")), "groups")
+    points = common.cut(good.join(groups, ["_l", "_s"]).select("g", *[f"x{i}" for i in range(_P)]), "points")
     params = fit(points, h).where(F.col("n") >= MIN_ROWS * h).drop("n", "logdet", "start")
-    known = groups.join(params, "g").select("_l", "_s", *[f"m{i}" for i in range(p)], *[f"p{i}_{j}" for i, j in _PAIRS])
-    met = keyed.join(common.cut(known, "known"), ["_l", "_s"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
-    return met.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi_square(p, 1 - tail), F.lit(True)))
+    return common.cut(groups.join(params, "g").select("_l", "_s", *[f"m{i}" for i in range(_P)], *[f"p{i}_{j}" for i, j in _PAIRS]), "known")
+
+
+def judge(rows: DataFrame, known: DataFrame, tail: float = TAIL) -> DataFrame:
+    """rows with base_failed, distance (squared; null where there is no estimate or the base rules failed) and kept."""
+    met = _keyed(rows).join(known, ["_l", "_s"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    return met.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi_square(_P, 1 - tail), F.lit(True)))
 
 
 def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -210,15 +218,20 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     common.small_batches(docs.sparkSession)
     rows = common.cut(docs.select("doc_id", "lang", "source", statistics_column(text).alias("_m")).select("doc_id", "lang", "source", "_m.*"), "statistics")
-    return verdicts(rows).select("doc_id", *_STATS[:5], "base_failed", "kept", "n_lines", "distance")
+    return judge(rows, estimates(rows)).select("doc_id", *_STATS[:5], "base_failed", "kept", "n_lines", "distance")
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that are kept, with its columns. Same cases as quality_rules."""
+    """The rows of docs that are kept, with its columns. Same cases as quality_rules.
+
+    The statistics are taken twice, for the estimates and for the verdicts, so that no text is written in between.
+    """
     common.small_batches(docs.sparkSession)
+    measured = docs.select("lang", "source", statistics_column(text).alias("_m"))
+    known = estimates(common.cut(measured.select("lang", "source", "_m.*"), "statistics"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = common.cut(docs.select(row, F.col("lang"), F.col("source"), statistics_column(text).alias("_m")).select("_row", "lang", "source", "_m.*"), "statistics")
-    return verdicts(rows).where("kept").select("_row.*")
+    rows = docs.select(row, "lang", "source", statistics_column(text).alias("_m")).select("_row", "lang", "source", "_m.*")
+    return judge(rows, known).where("kept").select("_row.*")
 
 
 def op5_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
