@@ -1,11 +1,13 @@
 """Operator 3: near-duplicate embeddings through a robust-pruned flat graph.
 
 Equal vectors are one class. Classes are dealt to overlapping cells around spherical k-means centers, fitted on a
-bounded sample; cells that stay too large are split again. In each cell a graph is built by robust pruning; a node's
+bounded sample; cells that stay too large are split again. Centers within the range of each other are one, so a dense
+group stays in one cell; a cell that stays too large all the same is compared exactly, as pairs of blocks. In each cell a graph is built by robust pruning; a node's
 adjacency lists from all its cells are united. In each cell every node is then a query: a greedy search from the
 cell's medoid finds its neighbourhood, and a range expansion follows the graph as long as it meets vectors within the
 range. Pairs are verified by their cosine in double precision. A sample of queries against all vectors audits the
-recall; while it is too low, cells around other centers add their pairs.
+recall and grows until it holds true links; while the recall is too low, cells around other centers add their pairs.
+Where that does not suffice, or no sample holds a link, all vectors are compared as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ SPLITS = 6
 DEGREE, POOL, BEAM, ALPHA = 24, 48, 32, 1.2
 #: How far below the range the expansion still follows the graph.
 SLACK = 0.1
-AUDIT, RECALL, ROUNDS = 256, 0.97, 3
+#: Queries of the first audit and of the last one, and the true links that an audit has to hold.
+AUDIT, AUDIT_MOST, AUDIT_LINKS = 256, 16_384, 100
+RECALL, ROUNDS = 0.97, 3
 
 
 def unit_vectors(values: list[list[float] | None]) -> list[np.ndarray | None]:
@@ -78,8 +82,24 @@ def fit_centers(x: np.ndarray, k: int, seed: int, steps: int = 8) -> np.ndarray:
     return centers
 
 
-def _deal(centers: dict[str, np.ndarray], overlap: int):
-    """Sends rows (cell, rep, unit) of the cells that have centers to their nearest ones, as cells of their own."""
+def merge_centers(centers: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centers without those in the range of an earlier one, and which of them stand for several."""
+    unit = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-9)
+    left, several = np.ones(len(unit), bool), np.zeros(len(unit), bool)
+    for i in range(len(unit)):
+        if left[i]:
+            near = left & (unit @ unit[i] >= threshold)
+            near[: i + 1] = False
+            several[i] = near.any()
+            left &= ~near
+    return centers[left], several[left]
+
+
+def _deal(centers: dict[str, tuple[np.ndarray, np.ndarray]], overlap: int, threshold: float):
+    """Sends rows (cell, rep, unit) of the cells that have centers to their nearest ones, as cells of their own.
+
+    What lies in the range of a center that stands for several goes to no other cell.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,12 +107,14 @@ def _deal(centers: dict[str, np.ndarray], overlap: int):
             for cell in {*cells}:
                 at = np.flatnonzero(cells == cell)
                 part = batch.take(pa.array(at))
-                own = centers[cell]
+                own, several = centers[cell]
                 near = _matrix(part.column("unit").to_pylist()) @ own.T
                 most = min(overlap, near.shape[1])
                 best = np.argpartition(-near, most - 1, axis=1)[:, :most]
-                row = np.repeat(np.arange(len(at)), most)
-                names = pa.array([f"{cell}.{c}" for c in best.ravel()])
+                first = near.argmax(1)
+                only = several[first] & (near[np.arange(len(at)), first] >= threshold)
+                row, k = np.nonzero(~only[:, None] | (best == first[:, None]))
+                names = pa.array([f"{cell}.{c}" for c in best[row, k]])
                 moved = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([names, moved.column("rep"), moved.column("unit")], names=["cell", "rep", "unit"])
 
@@ -102,8 +124,8 @@ def _deal(centers: dict[str, np.ndarray], overlap: int):
 _MEMBER = "cell string, rep long, unit binary"
 
 
-def deal_cells(classes: DataFrame, seed: int) -> DataFrame:
-    """cell, rep, unit: each class in the cells of its OVERLAP nearest centers."""
+def deal_cells(classes: DataFrame, seed: int, threshold: float = THRESHOLD) -> DataFrame:
+    """cell, rep, unit: each class in the cells of its OVERLAP nearest centers. Cells that cannot be split stay large."""
     spark = classes.sparkSession
     members = classes.select(F.lit("c").alias("cell"), "rep", "unit")
     sizes = {"c": classes.count()}
@@ -118,12 +140,14 @@ def deal_cells(classes: DataFrame, seed: int) -> DataFrame:
         picked = held.where(F.pmod(F.xxhash64("rep", F.lit(seed + level)), F.lit(1 << 30)) < int(share * (1 << 30))).select("cell", "unit").toPandas()  # about SAMPLE rows
         centers = {}
         for cell, own in picked.groupby("cell"):
-            k = int(min(max(2, -(-large[cell] * OVERLAP // CELL) if not level else -(-large[cell] // CELL)), max(2, len(own) // 8)))
-            centers[cell] = fit_centers(_matrix(own["unit"]), k, seed + level)
+            k = int(min(max(2 * OVERLAP, -(-large[cell] * OVERLAP // CELL) if not level else -(-large[cell] // CELL)), max(2 * OVERLAP, len(own) // 8)))
+            apart = merge_centers(fit_centers(_matrix(own["unit"]), k, seed + level), threshold)
+            if len(apart[0]) > 1:
+                centers[cell] = apart
         ready = [c for c in large if c in centers]
         if not ready:
             break
-        moved = common.cut(common.map_arrow(members.where(F.col("cell").isin(ready)), _deal(centers, OVERLAP), _MEMBER, rows=2048), "cells")
+        moved = common.cut(common.map_arrow(members.where(F.col("cell").isin(ready)), _deal(centers, OVERLAP, threshold), _MEMBER, rows=2048), "cells")
         done.append(members.where(~F.col("cell").isin(ready)))
         members = moved
         sizes = {r.cell: r.n for r in moved.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row for each of the cells
@@ -280,10 +304,38 @@ def _local(rep: np.ndarray, neighbours: list) -> list[np.ndarray]:
     return np.split(order[at][inside], np.searchsorted(owner[inside], np.arange(1, len(rep))))
 
 
+def block_links(members: DataFrame, threshold: float) -> DataFrame:
+    """a, b: all links, a < b, inside each cell of members, found by comparing its blocks pair by pair."""
+    size = max(1, CELL_MOST // 2)
+    blocks = members.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    dealt = members.join(F.broadcast(blocks), "cell").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int"))  # blocks: a row for each large cell
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "unit")
+
+    def compare(table: pa.Table) -> pa.Table:
+        rep, own = table.column("rep").to_numpy(), table.column("own").to_numpy()
+        x = _matrix(table.column("unit").to_pylist())
+        left = np.flatnonzero(own == table.column("low")[0].as_py())
+        right = np.flatnonzero(own == table.column("high")[0].as_py())
+        out_a, out_b = [rep[:0]], [rep[:0]]
+        for at in range(0, len(left), 512):
+            i, j = np.nonzero(x[left[at : at + 512]] @ x[right].T >= threshold)
+            a, b = rep[left[at + i]], rep[right[j]]
+            if left[0] == right[0]:
+                a, b = a[a < b], b[a < b]
+            out_a.append(np.minimum(a, b))
+            out_b.append(np.maximum(a, b))
+        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+    return dealt.groupBy("cell", "low", "high").applyInArrow(compare, "a long, b long")
+
+
 def cell_links(classes: DataFrame, threshold: float, seed: int) -> DataFrame:
     """a, b: verified links between classes, a < b, through the graph over the cells of one seed."""
-    spark = classes.sparkSession
-    members = common.cut(deal_cells(classes, seed), "members")
+    everyone = common.cut(deal_cells(classes, seed, threshold), "members")
+    sizes = everyone.groupBy("cell").agg(F.count("*").alias("n"))
+    large = [r.cell for r in sizes.where(F.col("n") > CELL_MOST).collect()]
+    members = everyone.where(~F.col("cell").isin(large)) if large else everyone
 
     def graph(table: pa.Table) -> pa.Table:
         rep = table.column("rep").to_numpy()
@@ -303,16 +355,18 @@ def cell_links(classes: DataFrame, threshold: float, seed: int) -> DataFrame:
     edges = members.groupBy("cell").applyInArrow(graph, "rep long, near array<long>")
     united = edges.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # a few lists of bounded length
     found = members.join(united, "rep").groupBy("cell").applyInArrow(search, "a long, b long")
+    if large:
+        found = found.union(block_links(everyone.where(F.col("cell").isin(large)), threshold))
     return common.cut(found.distinct(), "pairs")
 
 
-def audit(classes: DataFrame, links: DataFrame, threshold: float, queries: int = AUDIT) -> float:
-    """The share of the true links of some hashed classes, found by comparing them with all, that links holds."""
+def true_links(classes: DataFrame, threshold: float, queries: int) -> DataFrame:
+    """a, b: the links of about so many hashed classes, found by comparing them with all."""
     spark = classes.sparkSession
     total = classes.count()
-    chosen = classes.where(F.pmod(F.xxhash64("rep", F.lit(17)), F.lit(1 << 30)) < int(min(1.0, queries / max(total, 1)) * (1 << 30))).select("rep", "unit").toPandas()  # about AUDIT rows
+    chosen = classes.where(F.pmod(F.xxhash64("rep", F.lit(17)), F.lit(1 << 30)) < int(min(1.0, queries / max(total, 1)) * (1 << 30))).select("rep", "unit").toPandas()  # about so many rows
     if chosen.empty:
-        return 1.0
+        return spark.createDataFrame([], "a long, b long")
     reps, x = chosen["rep"].to_numpy(), _matrix(chosen["unit"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,21 +376,37 @@ def audit(classes: DataFrame, links: DataFrame, threshold: float, queries: int =
             own = rep[i] != reps[j]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], reps[j])[own]), pa.array(np.maximum(rep[i], reps[j])[own])], names=["a", "b"])
 
-    truth = common.cut(common.map_arrow(classes.select("rep", "unit"), compare, "a long, b long", rows=4096).distinct(), "truth")
-    n = truth.count()
-    return truth.join(links, ["a", "b"], "left_semi").count() / n if n else 1.0
+    return common.cut(common.map_arrow(classes.select("rep", "unit"), compare, "a long, b long", rows=512).distinct(), "truth")
+
+
+def audit_links(classes: DataFrame, threshold: float) -> DataFrame | None:
+    """True links to audit with: of AUDIT classes, and of more until they are AUDIT_LINKS. None if AUDIT_MOST classes have none."""
+    total, queries = classes.count(), AUDIT
+    while True:
+        truth = true_links(classes, threshold, queries)
+        n = truth.count()
+        if n >= AUDIT_LINKS or queries >= total or n and queries >= AUDIT_MOST:
+            return truth
+        if queries >= AUDIT_MOST:
+            return None
+        queries = min(8 * queries, AUDIT_MOST)
 
 
 def link_classes(classes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, float]:
-    """Links between classes and their audited recall; other centers are tried while it is below RECALL."""
-    links, recall = None, 0.0
-    for seed in range(ROUNDS):
+    """Links between classes and their audited recall; other centers are tried while it is below RECALL.
+
+    If it stays below, or if nothing can be audited, all classes are compared and the recall is 1.
+    """
+    truth = audit_links(classes, threshold)
+    links = None
+    for seed in range(ROUNDS if truth is not None else 0):
         more = cell_links(classes, threshold, 1000 * seed)
         links = more if links is None else common.cut(links.union(more).distinct(), "pairs")
-        recall = audit(classes, links, threshold)
+        n = truth.count()
+        recall = truth.join(links, ["a", "b"], "left_semi").count() / n if n else 1.0
         if recall >= RECALL:
-            break
-    return links, recall
+            return links, recall
+    return common.cut(block_links(classes.select(F.lit("all").alias("cell"), "rep", "unit"), threshold), "pairs"), 1.0
 
 
 def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -86,3 +86,46 @@ def test_against_brute_force(spark, monkeypatch):
 
 def test_empty(spark):
     assert embeddings.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def all_links(x):
+    truth = x @ x.T >= 0.9
+    a, b = np.nonzero(np.triu(truth, 1))
+    return set(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def classes_of(spark, x):
+    return spark.createDataFrame([(i, bytearray(v.astype("<f8").tobytes())) for i, v in enumerate(x)], "rep long, unit binary")
+
+
+def near_copies(n, d, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=d) * 3 / np.sqrt(d) + rng.normal(size=(n, d)) * 0.3 / np.sqrt(d)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_dense_group_beyond_a_cell_keeps_all_links(spark, monkeypatch):
+    for name, value in (("CELL", 40), ("CELL_MOST", 100), ("SAMPLE", 2000)):
+        monkeypatch.setattr(embeddings, name, value)
+    x = np.concatenate([near_copies(700, 16, 7), clustered(300, 16, 8)])
+    truth = all_links(x)
+    assert len(truth) >= 700 * 699 // 2
+    got = {(r.a, r.b) for r in embeddings.cell_links(classes_of(spark, x), 0.9, 0).collect()}
+    assert got <= truth and len(got) >= 0.97 * len(truth)
+
+
+def test_low_recall_is_never_returned(spark, monkeypatch):
+    x = clustered(400, 16, 9)
+    monkeypatch.setattr(embeddings, "CELL_MOST", 100)
+    monkeypatch.setattr(embeddings, "cell_links", lambda classes, threshold, seed: spark.createDataFrame([], "a long, b long"))
+    links, recall = embeddings.link_classes(classes_of(spark, x))
+    assert recall == 1.0 and {(r.a, r.b) for r in links.collect()} == all_links(x)
+
+
+def test_audit_draws_on_until_it_holds_links(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(500, 32))
+    x[498] = x[499] + 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(embeddings, "AUDIT", 4)
+    assert [(r.a, r.b) for r in embeddings.audit_links(classes_of(spark, x), 0.9).collect()] == [(498, 499)]
