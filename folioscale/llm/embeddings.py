@@ -5,7 +5,8 @@ bounded sample; cells that stay too large are split again. Centers within the ra
 group stays in one cell; a cell that stays too large all the same is compared exactly, as pairs of blocks. In each cell a graph is built by robust pruning; a node's
 adjacency lists from all its cells are united. In each cell every node is then a query: a greedy search from the
 cell's medoid finds its neighbourhood, and a range expansion follows the graph as long as it meets vectors within the
-range. Pairs are verified by their cosine in double precision. A sample of queries against all vectors audits the
+range. Beyond the cells, found pairs are followed along the united lists until no new pair appears. Pairs are verified
+by their cosine in double precision. A sample of queries against all vectors audits the
 recall and grows until it holds true links; while the recall is too low, cells around other centers add their pairs.
 Where that does not suffice, or no sample holds a link, all vectors are compared as pairs of blocks.
 """
@@ -82,24 +83,24 @@ def fit_centers(x: np.ndarray, k: int, seed: int, steps: int = 8) -> np.ndarray:
     return centers
 
 
-def merge_centers(centers: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Centers without those in the range of an earlier one, and which of them stand for several."""
+def merge_centers(centers: np.ndarray, threshold: float) -> np.ndarray:
+    """Centers without those in the range of an earlier one."""
     unit = centers / np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-9)
-    left, several = np.ones(len(unit), bool), np.zeros(len(unit), bool)
+    left = np.ones(len(unit), bool)
     for i in range(len(unit)):
         if left[i]:
             near = left & (unit @ unit[i] >= threshold)
             near[: i + 1] = False
-            several[i] = near.any()
             left &= ~near
-    return centers[left], several[left]
+    return centers[left]
 
 
-def _deal(centers: dict[str, tuple[np.ndarray, np.ndarray]], overlap: int, threshold: float):
+def _deal(centers: dict[str, np.ndarray], overlap: int, threshold: float):
     """Sends rows (cell, rep, unit) of the cells that have centers to their nearest ones, as cells of their own.
 
-    What lies in the range of a center that stands for several goes to no other cell.
+    What is farther than the range from every border of its cell can have no link across it and goes to no other cell.
     """
+    angle = np.sqrt(1 - threshold**2) if threshold > 0 else 2.0
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,12 +108,15 @@ def _deal(centers: dict[str, tuple[np.ndarray, np.ndarray]], overlap: int, thres
             for cell in {*cells}:
                 at = np.flatnonzero(cells == cell)
                 part = batch.take(pa.array(at))
-                own, several = centers[cell]
+                own = centers[cell]
                 near = _matrix(part.column("unit").to_pylist()) @ own.T
                 most = min(overlap, near.shape[1])
                 best = np.argpartition(-near, most - 1, axis=1)[:, :most]
                 first = near.argmax(1)
-                only = several[first] & (near[np.arange(len(at)), first] >= threshold)
+                between = np.sqrt(np.maximum(2 - 2 * own[first] @ own.T, 1e-18))
+                border = (near[np.arange(len(at)), first][:, None] - near) / between
+                border[np.arange(len(at)), first] = 2.0
+                only = (border >= angle).all(1)
                 row, k = np.nonzero(~only[:, None] | (best == first[:, None]))
                 names = pa.array([f"{cell}.{c}" for c in best[row, k]])
                 moved = part.take(pa.array(row))
@@ -142,7 +146,7 @@ def deal_cells(classes: DataFrame, seed: int, threshold: float = THRESHOLD) -> D
         for cell, own in picked.groupby("cell"):
             k = int(min(max(2 * OVERLAP, -(-large[cell] * OVERLAP // CELL) if not level else -(-large[cell] // CELL)), max(2 * OVERLAP, len(own) // 8)))
             apart = merge_centers(fit_centers(_matrix(own["unit"]), k, seed + level), threshold)
-            if len(apart[0]) > 1:
+            if len(apart) > 1:
                 centers[cell] = apart
         ready = [c for c in large if c in centers]
         if not ready:
@@ -305,7 +309,7 @@ def _local(rep: np.ndarray, neighbours: list) -> list[np.ndarray]:
 
 
 def block_links(members: DataFrame, threshold: float) -> DataFrame:
-    """a, b: all links, a < b, inside each cell of members, found by comparing its blocks pair by pair."""
+    """cell, a, b, near (their cosine): all links, a < b, inside each cell of members, found by comparing its blocks pair by pair."""
     size = max(1, CELL_MOST // 2)
     blocks = members.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
     dealt = members.join(F.broadcast(blocks), "cell").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int"))  # blocks: a row for each large cell
@@ -317,17 +321,19 @@ def block_links(members: DataFrame, threshold: float) -> DataFrame:
         x = _matrix(table.column("unit").to_pylist())
         left = np.flatnonzero(own == table.column("low")[0].as_py())
         right = np.flatnonzero(own == table.column("high")[0].as_py())
-        out_a, out_b = [rep[:0]], [rep[:0]]
+        out_a, out_b, out_near = [rep[:0]], [rep[:0]], [np.zeros(0)]
         for at in range(0, len(left), 512):
-            i, j = np.nonzero(x[left[at : at + 512]] @ x[right].T >= threshold)
+            value = x[left[at : at + 512]] @ x[right].T
+            i, j = np.nonzero(value >= threshold)
             a, b = rep[left[at + i]], rep[right[j]]
-            if left[0] == right[0]:
-                a, b = a[a < b], b[a < b]
-            out_a.append(np.minimum(a, b))
-            out_b.append(np.maximum(a, b))
-        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+            once = a < b if len(right) and left[0] == right[0] else np.ones(len(a), bool)
+            out_a.append(np.minimum(a, b)[once])
+            out_b.append(np.maximum(a, b)[once])
+            out_near.append(value[i, j][once])
+        a = np.concatenate(out_a)
+        return pa.table({"cell": pa.array([table.column("cell")[0].as_py()] * len(a), pa.string()), "a": a, "b": np.concatenate(out_b), "near": np.concatenate(out_near)})
 
-    return dealt.groupBy("cell", "low", "high").applyInArrow(compare, "a long, b long")
+    return dealt.groupBy("cell", "low", "high").applyInArrow(compare, "cell string, a long, b long, near double")
 
 
 def cell_links(classes: DataFrame, threshold: float, seed: int) -> DataFrame:
@@ -346,18 +352,61 @@ def cell_links(classes: DataFrame, threshold: float, seed: int) -> DataFrame:
         rep, x = table.column("rep").to_numpy(), _matrix(table.column("unit").to_pylist())
         lists = _local(rep, table.column("near").to_pylist())
         medoid = int((x @ x.mean(0)).argmax())
-        q, r = range_search(x, lists, medoid, threshold)
-        a, b = np.minimum(rep[q], rep[r]), np.maximum(rep[q], rep[r])
-        if len(a):
-            a, b = np.unique(np.stack([a, b], 1), axis=0).T
-        return pa.table({"a": a, "b": b})
+        q, r = range_search(x, lists, medoid, threshold - SLACK, 0.0)
+        low, high = np.where(rep[q] < rep[r], q, r), np.where(rep[q] < rep[r], r, q)
+        if len(low):
+            low, high = np.unique(np.stack([low, high], 1), axis=0).T
+        near = np.concatenate([np.zeros(0), *(np.einsum("nd,nd->n", x[low[i : i + 65536]], x[high[i : i + 65536]]) for i in range(0, len(low), 65536))])
+        return pa.table({"cell": pa.array([table.column("cell")[0].as_py()] * len(low), pa.string()), "a": rep[low], "b": rep[high], "near": near})
 
     edges = members.groupBy("cell").applyInArrow(graph, "rep long, near array<long>")
     united = edges.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # a few lists of bounded length
-    found = members.join(united, "rep").groupBy("cell").applyInArrow(search, "a long, b long")
+    found = members.join(united, "rep").groupBy("cell").applyInArrow(search, "cell string, a long, b long, near double")
+    found = common.cut(found, "found")
     if large:
-        found = found.union(block_links(everyone.where(F.col("cell").isin(large)), threshold))
-    return common.cut(found.distinct(), "pairs")
+        inside = everyone.where(F.col("cell").isin(large))
+        found = common.cut(found.unionByName(block_links(inside, threshold - SLACK)), "found")
+        # A dense cell's graph is that of its blocks: enough to lead into and out of it.
+        size = max(1, CELL_MOST // 2)
+        n = sizes.where(F.col("cell").isin(large)).select("cell", F.ceil(F.col("n") / size).alias("blocks"))
+        blocks = inside.join(F.broadcast(n), "cell").withColumn("cell", F.concat_ws("/", "cell", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks"))))  # n: a row for each large cell
+        more = blocks.groupBy("cell").applyInArrow(graph, "rep long, near array<long>")
+        united = united.union(more).groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # a few lists of bounded length
+    if sizes.count() > 1:
+        found = expand(found, common.cut(united, "graph"), everyone, classes, threshold)
+    return common.cut(found.where(F.col("near") >= threshold).select("a", "b").distinct(), "pairs")
+
+
+def expand(found: DataFrame, united: DataFrame, members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """found and the pairs that are reached from it: from a pair (q, r) along the united list of r to all that have no cell with q.
+
+    found: cell, a, b, near (cosine, not under threshold - SLACK). A cell's own pairs are known, so the first round only
+    follows edges that leave the cell in which a pair was found; later rounds follow all edges of the new pairs.
+    """
+    both = lambda df, *more: df.select(*more, F.col("a").alias("q"), F.col("b").alias("r")).union(df.select(*more, "b", "a"))
+    edges = united.select(F.col("rep").alias("r"), F.explode("near").alias("s"))
+    front = both(found, "cell")
+    places = members.select("cell", "rep")
+    leaving = front.select("cell", "r").distinct().join(edges, "r").join(places.withColumnRenamed("rep", "s"), ["cell", "s"], "left_anti")
+    reached = front.join(leaving, ["cell", "r"]).select("q", "s")
+    known = common.cut(found.select("a", "b", "near").dropDuplicates(["a", "b"]), "known")
+    units = classes.select("rep", "unit")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = np.einsum("nd,nd->n", _matrix(batch.column("unit").to_pylist()), _matrix(batch.column("other").to_pylist()))
+                kept = pa.array(near >= threshold - SLACK)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near)], names=["a", "b", "near"]).filter(kept)
+
+    while True:
+        asked = reached.where("q <> s").select(F.least("q", "s").alias("a"), F.greatest("q", "s").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
+        asked = asked.join(units.withColumnRenamed("rep", "a"), "a").join(units.select(F.col("rep").alias("b"), F.col("unit").alias("other")), "b").select("a", "b", "unit", "other")
+        new = common.cut(common.map_arrow(asked, verify, "a long, b long, near double", rows=4096), "reached")
+        if new.isEmpty():
+            return known
+        known = known.union(new)
+        reached = both(new).join(edges, "r").select("q", "s")
 
 
 def true_links(classes: DataFrame, threshold: float, queries: int) -> DataFrame:
@@ -406,7 +455,7 @@ def link_classes(classes: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
         recall = truth.join(links, ["a", "b"], "left_semi").count() / n if n else 1.0
         if recall >= RECALL:
             return links, recall
-    return common.cut(block_links(classes.select(F.lit("all").alias("cell"), "rep", "unit"), threshold), "pairs"), 1.0
+    return common.cut(block_links(classes.select(F.lit("all").alias("cell"), "rep", "unit"), threshold).select("a", "b"), "pairs"), 1.0
 
 
 def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -129,3 +129,25 @@ def test_audit_draws_on_until_it_holds_links(spark, monkeypatch):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     monkeypatch.setattr(embeddings, "AUDIT", 4)
     assert [(r.a, r.b) for r in embeddings.audit_links(classes_of(spark, x), 0.9).collect()] == [(498, 499)]
+
+
+def test_links_across_cells_are_reached_along_the_united_graph(spark, monkeypatch):
+    # A chain: 0-1 and 1-2 share a cell, 0 and 2 none; they are linked all the same.
+    angle = np.array([0.0, 0.2, 0.4, 2.0])
+    x = np.stack([np.cos(angle), np.sin(angle)], 1)
+    members = spark.createDataFrame([("p", 0), ("p", 1), ("q", 1), ("q", 2), ("q", 3)], "cell string, rep long")
+    united = spark.createDataFrame([(0, [1]), (1, [0, 2]), (2, [1, 3]), (3, [2])], "rep long, near array<long>")
+    found = spark.createDataFrame([("p", 0, 1, float(x[0] @ x[1])), ("q", 1, 2, float(x[1] @ x[2]))], "cell string, a long, b long, near double")
+    got = embeddings.expand(found, united, members, classes_of(spark, x), 0.9).collect()
+    assert sorted((r.a, r.b) for r in got) == [(0, 1), (0, 2), (1, 2)]
+
+
+def test_cells_without_overlap_lose_few_links(spark, monkeypatch):
+    for name, value in (("CELL", 60), ("CELL_MOST", 100), ("SAMPLE", 2000)):
+        monkeypatch.setattr(embeddings, name, value)
+    rng = np.random.default_rng(11)
+    x = np.cumsum(rng.normal(size=(600, 12)) * 0.12, axis=0) + 1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    truth = all_links(x)
+    got = {(r.a, r.b) for r in embeddings.cell_links(classes_of(spark, x), 0.9, 0).collect()}
+    assert got <= truth and len(got) >= 0.99 * len(truth)
