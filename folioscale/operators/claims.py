@@ -101,12 +101,15 @@ def product_dimension(rows: DataFrame, product: str, version: str, alias: str) -
 def resolve_products(questions: DataFrame, products: DataFrame) -> DataFrame:
     """question_id with state and product: an alias in the question's normal form resolves it if only one product has such.
 
-    Aliases are split off by their first three characters, so the containment test is an equi join on those.
+    Wherever a question has the first three characters of an alias, its runs of the lengths of such aliases are cut out,
+    so the containment test is an equi join on whole aliases.
     """
-    a = products.select("product", F.explode("aliases").alias("alias")).withColumn("alias", F.regexp_replace(F.lower("alias"), r"[^\p{L}\p{N}]", "")).where("length(alias) >= 3")
+    a = products.select("product", F.explode("aliases").alias("alias")).withColumn("alias", F.regexp_replace(F.lower("alias"), r"[^\p{L}\p{N}]", "")).where("length(alias) >= 3").distinct()
+    lengths = a.groupBy(F.substring("alias", 1, 3).alias("_h")).agg(F.collect_set(F.length("alias")).alias("_n"))
     q = questions.withColumn("_q", F.regexp_replace(F.lower("question"), r"[^\p{L}\p{N}]", ""))
-    heads = F.when(F.length("_q") >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_q") - 2), lambda i: F.col("_q").substr(i, F.lit(3)))))
-    met = q.withColumn("_h", F.explode(heads)).join(a.withColumn("_h", F.substring("alias", 1, 3)).distinct(), "_h").where(F.contains("_q", F.col("alias")))
+    heads = F.when(F.length("_q") >= 3, F.transform(F.sequence(F.lit(1), F.length("_q") - 2), lambda i: F.struct(i.alias("at"), F.col("_q").substr(i, F.lit(3)).alias("_h"))))
+    runs = q.select("question_id", "_q", F.inline(heads)).join(lengths, "_h").select("question_id", "_q", "at", F.explode("_n").alias("n")).where("at + n - 1 <= length(_q)")
+    met = runs.select("question_id", F.col("_q").substr(F.col("at"), F.col("n")).alias("alias")).distinct().join(a, "alias")
     hit = met.groupBy("question_id").agg(F.count_distinct("product").alias("n"), F.min("product").alias("product"))
     state = F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "needs_confirmation").otherwise("not_found")
     return questions.select("question_id").join(hit, "question_id", "left").select("question_id", state.alias("state"), F.when(F.col("n") == 1, F.col("product")).alias("product"))
@@ -121,16 +124,16 @@ def q_typed_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return conflicts(_facts(spark, sf), ["product", "property"], "value", "basis")
 
 
-def q_verdict_table(spark: SparkSession, sf: str) -> DataFrame:
+def q_verdict_table(spark: SparkSession, sf: str, source: str = "o_orderkey % 5 = 0", claim: str = "o_orderkey % 5 = 1") -> DataFrame:
     o = table(spark, sf, "orders")
     condition = lambda test, value: F.when(test, F.create_map(F.lit("season"), value)).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    sources = o.where("o_orderkey % 5 = 0").select((F.col("o_custkey") % 900).alias("product"), F.lit("v1").alias("version"), F.col("o_orderstatus").alias("property"), F.when(F.col("o_orderkey") % 15 != 0, F.substring("o_orderpriority", 1, 1)).alias("value"), F.lit("none").alias("unit"), F.lit("equals").alias("operator"), F.lit("affirmative").alias("polarity"), condition(F.col("o_orderkey") % 10 == 0, F.lit("a")).alias("conditions"), (F.col("o_orderkey") % 35 == 0).alias("unresolved"))
-    claims = o.where("o_orderkey % 5 = 1").select(F.col("o_orderkey").alias("claim_id"), (F.col("o_custkey") % 900).alias("product"), F.lit("v1").alias("version"), F.col("o_orderstatus").alias("property"), F.substring("o_orderpriority", 1, 1).alias("value"), F.lit("none").alias("unit"), F.lit("equals").alias("operator"), F.lit("affirmative").alias("polarity"), condition(F.col("o_orderkey") % 3 == 0, F.when(F.col("o_orderkey") % 2 == 0, "a").otherwise("b")).alias("conditions"), (F.col("o_orderkey") % 41 == 0).alias("personal"), (F.col("o_orderkey") % 43 == 0).alias("unclassified"), (F.col("o_orderkey") % 4 != 0).alias("exhausted"))
+    sources = o.where(source).select((F.col("o_custkey") % 900).alias("product"), F.lit("v1").alias("version"), F.col("o_orderstatus").alias("property"), F.when(F.col("o_orderkey") % 15 != 0, F.substring("o_orderpriority", 1, 1)).alias("value"), F.lit("none").alias("unit"), F.lit("equals").alias("operator"), F.lit("affirmative").alias("polarity"), condition(F.col("o_orderkey") % 10 == 0, F.lit("a")).alias("conditions"), (F.col("o_orderkey") % 35 == 0).alias("unresolved"))
+    claims = o.where(claim).select(F.col("o_orderkey").alias("claim_id"), (F.col("o_custkey") % 900).alias("product"), F.lit("v1").alias("version"), F.col("o_orderstatus").alias("property"), F.substring("o_orderpriority", 1, 1).alias("value"), F.lit("none").alias("unit"), F.lit("equals").alias("operator"), F.lit("affirmative").alias("polarity"), condition(F.col("o_orderkey") % 3 == 0, F.when(F.col("o_orderkey") % 2 == 0, "a").otherwise("b")).alias("conditions"), (F.col("o_orderkey") % 41 == 0).alias("personal"), (F.col("o_orderkey") % 43 == 0).alias("unclassified"), (F.col("o_orderkey") % 4 != 0).alias("exhausted"))
     return verdicts(claims, sources).select("claim_id", "verdict")
 
 
-def q_review_summary(spark: SparkSession, sf: str) -> DataFrame:
-    checks = q_verdict_table(spark, sf).withColumn("batch", F.col("claim_id") % 50)
+def q_review_summary(spark: SparkSession, sf: str, *roles: str) -> DataFrame:
+    checks = q_verdict_table(spark, sf, *roles).withColumn("batch", F.col("claim_id") % 50)
     return review_summary(checks, "batch")
 
 
@@ -139,9 +142,9 @@ def q_product_dimension(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("p_brand", F.array_join("versions", ";").alias("versions"), F.array_join("aliases", ";").alias("aliases"))
 
 
-def q_product_resolution(spark: SparkSession, sf: str) -> DataFrame:
+def q_product_resolution(spark: SparkSession, sf: str, asked: str = "o_orderkey % 40 = 0") -> DataFrame:
     products = product_dimension(table(spark, sf, "customer").withColumn("alias", F.regexp_replace("c_name", "#0*", " ")), "c_custkey", "c_mktsegment", "alias").select(F.col("c_custkey").alias("product"), "aliases")
-    questions = table(spark, sf, "orders").where("o_orderkey % 40 = 0").select(F.col("o_orderkey").alias("question_id"), F.concat(F.lit("status of customer-"), F.col("o_custkey").cast("string"), F.lit("?")).alias("question"))
+    questions = table(spark, sf, "orders").where(asked).select(F.col("o_orderkey").alias("question_id"), F.concat(F.lit("status of customer-"), F.col("o_custkey").cast("string"), F.lit("?")).alias("question"))
     return resolve_products(questions, products).select("question_id", "state", F.coalesce("product", F.lit(-1)).alias("product"))
 
 
@@ -169,3 +172,10 @@ ORACLES = {
     "product_dimension": "SELECT p_brand, array_to_string(list_sort(list(DISTINCT p_type)), ';') AS versions, array_to_string(list_sort(list(DISTINCT p_name)), ';') AS aliases FROM part GROUP BY p_brand",
     "product_resolution": "WITH a AS (SELECT c_custkey AS product, 'customer' || ltrim(substr(c_name, 10), '0') AS alias FROM customer), q AS (SELECT o_orderkey AS question_id, 'statusofcustomer' || CAST(o_custkey AS VARCHAR) AS q FROM orders WHERE o_orderkey % 40 = 0), h AS (SELECT question_id, count(DISTINCT product) AS n, min(product) AS product FROM q JOIN a ON contains(q, alias) GROUP BY 1) SELECT question_id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'needs_confirmation' ELSE 'not_found' END AS state, CASE WHEN n = 1 THEN product ELSE -1 END AS product FROM q LEFT JOIN h USING (question_id)",
 }
+#: The same over all rows: every order asks, states and claims.
+QUERIES |= {
+    "verdict_table_whole": lambda spark, sf: q_verdict_table(spark, sf, "true", "true"),
+    "review_summary_whole": lambda spark, sf: q_review_summary(spark, sf, "true", "true"),
+    "product_resolution_whole": lambda spark, sf: q_product_resolution(spark, sf, "true"),
+}
+ORACLES |= {f"{name}_whole": ORACLES[name].replace(" WHERE o_orderkey % 5 = 0)", ")").replace(" WHERE o_orderkey % 5 = 1)", ")") for name in ("verdict_table", "review_summary")}

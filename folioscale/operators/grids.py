@@ -108,10 +108,10 @@ def q_cell_addresses(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", address.alias("address")).select("p_partkey", "address", row.alias("row"), column.alias("column"))
 
 
-def q_cell_range_read(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").where("l_orderkey % 50 = 0")
+def q_cell_range_read(spark: SparkSession, sf: str, read: str = "l_orderkey % 50 = 0", merged: str = "o_orderkey % 100 = 0") -> DataFrame:
+    lines = table(spark, sf, "lineitem").where(read)
     cells = lines.groupBy(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("row"), (F.col("l_suppkey") % 5 + 1).cast("int").alias("column")).agg(F.max("l_quantity").alias("value"))
-    merges = table(spark, sf, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("sheet"), F.lit(1).alias("r0"), F.lit(1).alias("c0"), F.lit(2).alias("r1"), F.lit(3).alias("c1"))
+    merges = table(spark, sf, "orders").where(merged).select(F.col("o_orderkey").alias("sheet"), F.lit(1).alias("r0"), F.lit(1).alias("c0"), F.lit(2).alias("r1"), F.lit(3).alias("c1"))
     got = range_read(cells, merges, cells, 1, 1, 3, 4, ["sheet"])
     return got.select("sheet", "row", "column", F.coalesce("value", F.lit(-1.0)).alias("value"), F.coalesce("anchor_row", F.lit(0)).alias("anchor_row"), F.coalesce("anchor_column", F.lit(0)).alias("anchor_column"))
 
@@ -137,3 +137,6 @@ ORACLES = {
     "sheet_display": "WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber % 7 AS k, CAST(round(CASE WHEN l_linenumber % 7 >= 4 THEN l_discount WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END, 2) AS DECIMAL(28, 10)) AS x FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE k WHEN 0 THEN CASE WHEN round(x, 0) < 0 THEN '-' ELSE '' END || CAST(CAST(abs(round(x, 0)) AS DECIMAL(28, 0)) AS VARCHAR) WHEN 1 THEN CASE WHEN round(x, 2) < 0 THEN '-' ELSE '' END || CAST(CAST(abs(round(x, 2)) AS DECIMAL(28, 2)) AS VARCHAR) WHEN 2 THEN CASE WHEN round(x, 0) < 0 THEN '-' ELSE '' END || format('{:,}', CAST(abs(round(x, 0)) AS BIGINT)) WHEN 3 THEN CASE WHEN round(x, 2) < 0 THEN '-' ELSE '' END || '$' || format('{:,}', CAST(floor(abs(round(x, 2))) AS BIGINT)) || right(CAST(CAST(abs(round(x, 2)) AS DECIMAL(28, 2)) AS VARCHAR), 3) WHEN 4 THEN CAST(CAST(round(x * 100, 0) AS DECIMAL(28, 0)) AS VARCHAR) || '%' WHEN 5 THEN CAST(CAST(round(x * 100, 2) AS DECIMAL(28, 2)) AS VARCHAR) || '%' ELSE '' END AS shown FROM v",
     "sheet_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%-m/%-d/%y') || ' ' || CASE o_orderkey % 4 WHEN 1 THEN '6:00' WHEN 3 THEN '18:00' ELSE '0:00' END END AS shown FROM orders",
 }
+#: The same over all rows: every order is a sheet with a merge.
+QUERIES |= {"cell_range_read_whole": lambda spark, sf: q_cell_range_read(spark, sf, "true", "true")}
+ORACLES |= {"cell_range_read_whole": ORACLES["cell_range_read"].replace(" WHERE l_orderkey % 50 = 0", "").replace("g.sheet % 100 = 0 AND ", "")}

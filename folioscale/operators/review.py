@@ -109,17 +109,17 @@ def q_reading_queue(spark: SparkSession, sf: str) -> DataFrame:
     return reading_queue(requests, ledger, revisions).groupBy("state").agg(F.count("*").alias("n"))
 
 
-def q_graph_violations(spark: SparkSession, sf: str) -> DataFrame:
+def q_graph_violations(spark: SparkSession, sf: str, listed: str = "p_partkey % 10 = 0", read: str = "l_orderkey % 20 = 0") -> DataFrame:
     part, supplier = table(spark, sf, "part"), table(spark, sf, "supplier")
-    nodes = part.where("p_partkey % 10 = 0").select(F.concat_ws(" ", "p_brand", "p_type", "p_size").alias("node"))
-    lines = table(spark, sf, "lineitem").where("l_orderkey % 20 = 0").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    nodes = part.where(listed).select(F.concat_ws(" ", "p_brand", "p_type", "p_size").alias("node"))
+    lines = table(spark, sf, "lineitem").where(read).join(part, F.col("l_partkey") == F.col("p_partkey"))
     sources = lines.select(F.concat_ws(" ", "p_brand", "p_type", "p_size").alias("node"), F.col("l_suppkey").alias("source"))
     related = lines.select(F.concat_ws(" ", "p_brand", "p_type", "p_size").alias("node"), F.concat_ws(" ", "p_brand", "p_type", F.when(F.col("l_linenumber") % 2 == 0, F.col("p_size")).otherwise(F.col("p_size") + 1)).alias("other"))
     return graph_violations(nodes, sources, supplier.where("s_suppkey % 6 <> 0").select(F.col("s_suppkey").alias("source")), related).groupBy("problem").agg(F.count("*").alias("n"))
 
 
-def q_cell_completeness(spark: SparkSession, sf: str) -> DataFrame:
-    tables_ = table(spark, sf, "orders").where("o_orderkey % 25 = 0").select(F.col("o_orderkey").alias("table_id"), F.lit(3).alias("rows"), F.lit(2).alias("columns"))
+def q_cell_completeness(spark: SparkSession, sf: str, declared: str = "o_orderkey % 25 = 0") -> DataFrame:
+    tables_ = table(spark, sf, "orders").where(declared).select(F.col("o_orderkey").alias("table_id"), F.lit(3).alias("rows"), F.lit(2).alias("columns"))
     cells = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") % 3 + 1).alias("row"), (F.col("l_suppkey") % 2 + 1).alias("column"))
     return cell_completeness(cells, tables_)
 
@@ -129,10 +129,10 @@ def q_multiset_difference(spark: SparkSession, sf: str) -> DataFrame:
     return same_multiset(o.where("o_orderkey % 2 = 0").select("o_orderstatus", "o_orderpriority"), o.where("o_orderkey % 2 = 1").select("o_orderstatus", "o_orderpriority"))
 
 
-def q_unresolved_spans(spark: SparkSession, sf: str) -> DataFrame:
+def q_unresolved_spans(spark: SparkSession, sf: str, atom: str = "o_orderkey % 30 = 0", span: str = "o_orderkey % 30 = 7") -> DataFrame:
     o = table(spark, sf, "orders")
-    atoms = o.where("o_orderkey % 30 = 0").select(F.col("o_orderkey").alias("atom_id"), (F.col("o_custkey") % 100).alias("product"), F.year("o_orderdate").alias("version"), F.array("o_orderstatus").alias("properties"), F.array("o_orderpriority").alias("topics"))
-    spans = o.where("o_orderkey % 30 = 7").select((F.col("o_custkey") % 100).alias("product"), F.year("o_orderdate").alias("version"), F.array("o_orderstatus").alias("properties"), F.array("o_orderpriority").alias("topics"))
+    atoms = o.where(atom).select(F.col("o_orderkey").alias("atom_id"), (F.col("o_custkey") % 100).alias("product"), F.year("o_orderdate").alias("version"), F.array("o_orderstatus").alias("properties"), F.array("o_orderpriority").alias("topics"))
+    spans = o.where(span).select((F.col("o_custkey") % 100).alias("product"), F.year("o_orderdate").alias("version"), F.array("o_orderstatus").alias("properties"), F.array("o_orderpriority").alias("topics"))
     return unresolved_spans(spans, atoms)
 
 
@@ -172,3 +172,14 @@ ORACLES = {
     "topic_pages": "SELECT label, count(*) AS documents, min(p_partkey) AS first FROM (SELECT p_partkey, p_brand AS label FROM part UNION SELECT p_partkey, p_type FROM part) GROUP BY 1",
     "direct_rank": "WITH s AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER w AS rank, CAST(coalesce(sum(n) OVER (PARTITION BY event_type ORDER BY n DESC, user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM s WINDOW w AS (PARTITION BY event_type ORDER BY n DESC, user_id)) SELECT event_type, user_id, n, CAST(rank AS INTEGER) AS rank, before FROM r WHERE rank <= 12",
 }
+#: The same over all rows: every order declares a table, and is an atom and a span.
+QUERIES |= {
+    "graph_violations_whole": lambda spark, sf: q_graph_violations(spark, sf, "true", "true"),
+    "cell_completeness_whole": lambda spark, sf: q_cell_completeness(spark, sf, "true"),
+    "unresolved_spans_whole": lambda spark, sf: q_unresolved_spans(spark, sf, "true", "true"),
+}
+ORACLES |= {
+    "graph_violations_whole": ORACLES["graph_violations"].replace(" WHERE p_partkey % 10 = 0", "").replace(" WHERE l_orderkey % 20 = 0", ""),
+    "cell_completeness_whole": ORACLES["cell_completeness"].replace(" WHERE o_orderkey % 25 = 0", ""),
+    "unresolved_spans_whole": ORACLES["unresolved_spans"].replace(" WHERE a.o_orderkey % 30 = 0 AND s.o_orderkey % 30 = 7", ""),
+}

@@ -131,3 +131,12 @@ def test_releases(spark, tmp_path):
     assert releases.last_valid(spark, root) == "r1"
     releases.activate(spark, root, "r2", 3, revoked=True)
     assert releases.current(spark, root) is None
+
+
+def test_products_are_joined_on_whole_aliases(spark):
+    products = spark.createDataFrame([(i, [f"Customer {i}"]) for i in range(1, 60)] + [(99, ["ab", "Ünï-1"])], "product long, aliases array<string>")
+    questions = spark.createDataFrame([(1, "status of customer-7?"), (2, "customer 17"), (3, "ab"), (4, None), (5, "cus"), (6, "two: ÜNÏ 1, üni1"), (7, "customer 3 customer 3")], "question_id long, question string")
+    got = claims.resolve_products(questions, products)
+    assert sorted(map(tuple, got.collect())) == [(1, "resolved", 7), (2, "needs_confirmation", None), (3, "not_found", None), (4, "not_found", None), (5, "not_found", None), (6, "resolved", 99), (7, "resolved", 3)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" not in plan and "contains" not in plan

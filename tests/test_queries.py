@@ -36,3 +36,10 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
     assert sorted(cells(r) for r in got.select(*columns).collect()) == sorted(cells([r[i] for i in order]) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name, source, key", [("product_resolution", "orders", "o_orderkey"), ("verdict_table", "orders", "o_orderkey"), ("cell_completeness", "orders", "o_orderkey"), ("cell_range_read", "lineitem", "l_orderkey"), ("unresolved_spans", "orders", "o_orderkey")])
+def test_whole_queries_leave_no_row_out(spark, duck, name, source, key):
+    got = catalogue.QUERIES[f"{name}_whole"](spark, SF)
+    own = got.columns[0]
+    assert {r[0] for r in got.select(own).distinct().collect()} == {r[0] for r in duck.execute(f"SELECT DISTINCT {key} FROM {source}").fetchall()}
