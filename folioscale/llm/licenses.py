@@ -7,6 +7,8 @@ and white space as single spaces. Digests meet in a hash join; texts are never c
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,13 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD = {"BSD-2-Clause": f"{_BSD_HEAD}\n{_BSD_TAIL}", "BSD-3-Clause": f"{_BSD_HEAD}\n{_BSD_THIRD}\n{_BSD_TAIL}"}
+
 #: Names whose usual one-line notices are known, with the identifier they stand for.
 NAMES = {
     "MIT License": "MIT",
@@ -67,15 +76,18 @@ NAMES = {
 #: How a notice names its licence.
 FORMS = ["Licensed under {}.", "Licensed under the {}.", "Released under {}.", "Released under the {}.", "Distributed under the {}.", "This work is licensed under {}.", "This work is licensed under the {}.", "This work is licensed under a {}.", "This software is licensed under the {}."]
 #: Every known text holds one of these in its lower-case form, however it is spelled; other texts cannot match.
-ANCHORS = ("licen", "permission")
+ANCHORS = ("licen", "permission", "reserved", "redistribution")
 WHOLE = [("MIT", _MIT), ("MIT", "MIT License\n" + _MIT), ("ISC", _ISC), ("ISC", "ISC License\n" + _ISC), ("Zlib", _ZLIB), ("Zlib", "zlib License\n" + _ZLIB)]
+WHOLE += [(i, title + text) for i, text in _BSD.items() for title in ("", f"BSD {i[4:]} License\n")]
+#: Notices that grant nothing.
+RESERVED = [("All-Rights-Reserved", "All rights reserved.")]
 
 
 def known_texts() -> list[tuple[str, str]]:
     """Identifier and text of each known licence and notice: a fixed table of a few hundred rows."""
     notices = [(i, form.format(name)) for name, i in NAMES.items() for form in FORMS]
     spdx = [(i, f"SPDX-License-Identifier: {i}") for i in dict.fromkeys(NAMES.values())]
-    return WHOLE + notices + spdx
+    return WHOLE + RESERVED + notices + spdx
 
 
 def canonical(text: Column) -> Column:
@@ -91,7 +103,7 @@ def digest(text: Column) -> Column:
 
 def _anchored(text: Column) -> Column:
     low = F.lower(text)
-    return F.contains(low, F.lit(ANCHORS[0])) | F.contains(low, F.lit(ANCHORS[1]))
+    return functools.reduce(Column.__or__, [F.contains(low, F.lit(a)) for a in ANCHORS])
 
 
 def scan(docs: DataFrame, extra: list[tuple[str, str]] = (), text: str = "text") -> DataFrame:

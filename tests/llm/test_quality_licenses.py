@@ -140,3 +140,10 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     own = licenses.scan(spark.createDataFrame([(1, "Do as YOU like!"), (2, "x\nLicensed under CC BY 4.0")], "doc_id long, text string"), [("own", "do as you like")]).collect()
     assert sorted((r.doc_id, r.line, r.license_id) for r in own) == [(1, 0, "own"), (1, 1, "own"), (2, 2, "CC-BY-4.0")]
+
+
+def test_reserved_rights_and_entire_bsd_texts(spark):
+    rows = [(1, "prose\nAll rights reserved.\nmore"), (2, "ALL  RIGHTS-RESERVED"), (3, "Copyright 2020 Someone\n" + licenses._BSD["BSD-3-Clause"].replace("\n", "\n\n")), (4, licenses._BSD["BSD-2-Clause"]), (7, "reserved seats")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.license_id) for r in got if r.line == 0} == {(2, "All-Rights-Reserved"), (3, "BSD-3-Clause"), (4, "BSD-2-Clause")}
+    assert {(r.doc_id, r.line, r.license_id) for r in got if r.doc_id < 3} == {(1, 2, "All-Rights-Reserved"), (2, 0, "All-Rights-Reserved"), (2, 1, "All-Rights-Reserved")}
