@@ -8,22 +8,26 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch handed to Python: texts can be long, so far fewer than Spark's default.
-ARROW_ROWS = 512
+#: Bytes of an Arrow batch handed to Python: a batch of long texts is no larger than one of short ones.
+ARROW_BYTES = 8 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; only a local session may do without it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -42,18 +46,24 @@ def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Arrow batches of texts; read when a plan is made."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, alike for every operator; a bound that the session has already stays."""
+    if spark.conf.get(_BYTES, None) is None:
+        spark.conf.set(_BYTES, str(ARROW_BYTES))
 
 
-def map_arrow(df: DataFrame, function, schema: str, rows: int | None = None) -> DataFrame:
-    """mapInArrow with batches of ARROW_ROWS rows at most."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows or ARROW_ROWS))
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow with batches of ARROW_BYTES bytes at most, but for a single longer row."""
+    bound_batches(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
+def masked(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns renamed _0, _1, ..., which no operator uses, and where each name went; toDF(*df.columns) renames back."""
+    hidden = [f"_{i}" for i in range(len(df.columns))]
+    return df.toDF(*hidden), dict(zip(df.columns, hidden, strict=True))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -112,6 +122,12 @@ def word_blocks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         at = end
 
 
+def binary_array(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column over a buffer, without a copy; ends: where in it, in bytes, each value stops."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """A string column as UTF-8 bytes; null becomes empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -90,17 +90,16 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
     tokenizer = tokenizer or default_tokenizer()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, step = part_encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        encode = part_encoder(tokenizer)
         for batch in batches:
-            out = ([], [], [], [], [])
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(common.text_bytes(batch.column("text"))), strict=True):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), step)):
-                    own = ids[at : at + step]
-                    for column, value in zip(out, (doc_id, piece, at // 4, len(own) // 4, own), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
+            ids, counts = encode(batch.column("text"), end_id)
+            pieces = -(-counts // capacity)
+            owner = np.repeat(np.arange(len(counts)), pieces)
+            piece = np.arange(len(owner)) - (np.cumsum(pieces) - pieces)[owner]
+            start = piece * capacity
+            length = np.minimum(capacity, counts[owner] - start)
+            columns = [batch.column("doc_id").take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), common.binary_array(ids, 4 * np.cumsum(length))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return common.map_arrow(rows, cut_up, "doc_id long, piece int, start long, length long, ids binary")
@@ -168,7 +167,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
 
     number, placed = 0, []
     while True:
-        out = common.cut(common.map_arrow(rows, run(number, False), fields, rows=4096), "packed")
+        out = common.cut(common.map_arrow(rows, run(number, False), fields), "packed")
         placed.append(out.where("not _open").drop("_pass", "_open"))
         rows = out.where("_open").select(*[F.col(f"`{c}`") for c in kept])
         left = rows.count()
@@ -177,7 +176,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
         number += 1
         if left <= PASS_ROWS or number > 6:
             final = rows.repartition(-(-left // PASS_ROWS))
-            out = common.cut(common.map_arrow(final, run(number, True), fields, rows=4096), "packed")
+            out = common.cut(common.map_arrow(final, run(number, True), fields), "packed")
             placed.append(out.drop("_pass", "_open"))
             break
         rows = rows.repartition(-(-left // PASS_ROWS))

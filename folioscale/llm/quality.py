@@ -216,7 +216,7 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     A null text has no words and fails the base rules; a null language or source is one of its own. Repeated rows are
     judged alike. An empty table has no rows.
     """
-    common.small_batches(docs.sparkSession)
+    common.bound_batches(docs.sparkSession)
     rows = common.cut(docs.select("doc_id", "lang", "source", statistics_column(text).alias("_m")).select("doc_id", "lang", "source", "_m.*"), "statistics")
     return judge(rows, estimates(rows)).select("doc_id", *_STATS[:5], "base_failed", "kept", "n_lines", "distance")
 
@@ -226,7 +226,7 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
 
     The statistics are taken twice, for the estimates and for the verdicts, so that no text is written in between.
     """
-    common.small_batches(docs.sparkSession)
+    common.bound_batches(docs.sparkSession)
     measured = docs.select("lang", "source", statistics_column(text).alias("_m"))
     known = estimates(common.cut(measured.select("lang", "source", "_m.*"), "statistics"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")

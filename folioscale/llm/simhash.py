@@ -222,8 +222,8 @@ def fingerprint_links(prints: DataFrame, distance: int = DISTANCE, run: int = RU
                 cell, owner = cells(values[low : low + 4096])
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(owner)], names=["cell", "fp"])
 
-    dealt = common.map_arrow(prints.select("fp"), spread, "cell long, fp long", rows=16384).repartition(common.partitions(spark), "cell").sortWithinPartitions("cell")
-    found = common.cut(common.map_arrow(dealt, _link_runs(distance, run), _FOUND, rows=131072), "links")
+    dealt = common.map_arrow(prints.select("fp"), spread, "cell long, fp long").repartition(common.partitions(spark), "cell").sortWithinPartitions("cell")
+    found = common.cut(common.map_arrow(dealt, _link_runs(distance, run), _FOUND), "links")
     links, hot = found.where("not hot").select("a", "b"), found.where("hot").select(F.col("a").alias("cell"), F.col("b").alias("fp"))
     if hot.isEmpty():
         return links
@@ -232,7 +232,7 @@ def fingerprint_links(prints: DataFrame, distance: int = DISTANCE, run: int = RU
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
     dealt = dealt.select(task.alias("task"), "fp").repartition(common.partitions(spark), "task").sortWithinPartitions("task")
-    more = common.cut(common.map_arrow(dealt, _link_runs(distance, None), _FOUND, rows=131072), "links")
+    more = common.cut(common.map_arrow(dealt, _link_runs(distance, None), _FOUND), "links")
     return links.union(more.select("a", "b"))
 
 
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, text: str = "text
     A null text is empty; texts without words have fingerprint zero and are linked like others. Rows that repeat are
     rows of one group. A null doc_id is never a component_id unless the whole group has none. An empty table has no rows.
     """
-    common.small_batches(docs.sparkSession)
+    common.bound_batches(docs.sparkSession)
     slim = common.cut(docs.select("doc_id", fingerprint_column(text).alias("fp")), "prints")
     groups = fingerprint_groups(slim, distance)
     return slim.join(groups, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "root", "component_id")
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, text: str = "text
 
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE, text: str = "text") -> DataFrame:
     """One document of each group, that with the smallest doc_id, with the columns of docs. Same cases as near_duplicates."""
-    common.small_batches(docs.sparkSession)
+    common.bound_batches(docs.sparkSession)
     held = common.cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), fingerprint_column(text).alias("fp")), "printed")
     slim = held.select(F.col("_row.doc_id").alias("doc_id"), "fp")
     groups = fingerprint_groups(slim, distance)

@@ -37,25 +37,28 @@ def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str |
         from pyspark import TaskContext
 
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
-        encode, end = part_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode = part_encoder(tokenizer)
         doc_ids, counts, held, size, seq = [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal doc_ids, counts, held, size, seq
             file = f"{part:06d}-{seq:05d}-{attempt}.pfr"
-            common.write_file(f"{path}/{file}", pfor.encode_file(doc_ids, counts, np.frombuffer(b"".join(held), "<u4"), block, share))
+            common.write_file(f"{path}/{file}", pfor.encode_file(doc_ids, counts, np.concatenate(held), block, share))
             row = pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "file": [file], "n_docs": [len(doc_ids)], "n_ids": [size]})
             doc_ids, counts, held, size, seq = [], [], [], 0, seq + 1
             return row
 
         for batch in batches:
-            texts = common.text_bytes(batch.column("text"))
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
-                ids += end
-                doc_ids.append(doc_id)
-                counts.append(len(ids) // 4)
-                held.append(ids)
-                size += len(ids) // 4
+            ids, sizes = encode(batch.column("text"), end_id)
+            names, ends = batch.column("doc_id").to_pylist(), np.cumsum(sizes)
+            at = 0
+            while at < len(names):  # a file rolls behind the first document that fills it
+                stop = min(len(names), int(np.searchsorted(ends, file_ids - size + (ends[at - 1] if at else 0))) + 1)
+                part_of = ids[ends[at - 1] if at else 0 : ends[stop - 1]]
+                doc_ids += names[at:stop]
+                counts += sizes[at:stop].tolist()
+                held.append(part_of)
+                size, at = size + len(part_of), stop
                 if size >= file_ids:
                     yield flush()
         if doc_ids:
@@ -82,7 +85,6 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, path: str) -> Dat
                 ids = np.ascontiguousarray(found.ids().astype("<u4"))
                 ends = np.cumsum(found.counts)
                 begins = ends - found.counts
-                whole = ids.tobytes()
                 for low in range(0, len(ends), 4096):
                     part = slice(low, low + 4096)
                     yield pa.RecordBatch.from_arrays(
@@ -90,7 +92,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, path: str) -> Dat
                             pa.array(found.doc_ids[part], mask=found.nulls[part]),
                             pa.array(begins[part] + start),
                             pa.array(found.counts[part]),
-                            pa.array([whole[4 * a : 4 * b] for a, b in zip(begins[part], ends[part], strict=True)], pa.binary()),
+                            common.binary_array(ids[begins[part][0] : ends[part][-1]], 4 * (ends[part] - begins[part][0])),
                         ],
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
@@ -98,7 +100,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, path: str) -> Dat
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfr").load(path)
     named = files.withColumn("file", F.element_at(F.split("path", "/"), -1)).select("file", "content")
     kept = named.join(F.broadcast(manifest.select("file", "start")), "file")  # one row for each file of 2 million ids
-    return common.map_arrow(kept.select("content", "start"), read, "doc_id long, start long, n_tokens long, ids binary", rows=1)
+    return common.map_arrow(kept.select("content", "start"), read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

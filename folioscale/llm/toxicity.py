@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, text: str
         if r.weight > shorter:  # else the shorter beginning says as much
             lexicon[r.entry] = r.weight
     model = ToxicityModel(lexicon)
-    common.small_batches(sample.sparkSession)
+    common.bound_batches(sample.sparkSession)
     pairs = sample.select("toxic", density_column(model)["density"].alias("density")).toPandas()  # about MAX_LABELLED rows
     x, y = np.log1p(100 * pairs["density"].to_numpy()), pairs["toxic"].to_numpy().astype(float)
     design, at = np.stack([np.ones(len(x)), x], 1), np.zeros(2)
@@ -229,7 +229,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFram
     An empty table has no rows.
     """
     model = fit(docs, labels, text=text)
-    common.small_batches(docs.sparkSession)
+    common.bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", density_column(model, text).alias("_m"))
     return _scored(rows, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "_m.hits")
 
@@ -243,7 +243,7 @@ def _scored(rows: DataFrame, model: ToxicityModel) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that are not predicted toxic, with its columns. Same cases as toxicity."""
     model = fit(docs, labels, text=text)
-    common.small_batches(docs.sparkSession)
+    common.bound_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), density_column(model, text).alias("_m"))
     return _scored(rows, model).where("predicted = 0").select("_row.*")
 

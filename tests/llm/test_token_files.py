@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -24,14 +25,28 @@ def test_extreme_values():
     assert (pfor.decode_blocks(np.frombuffer(data, np.uint8), starts, 150) == ids).all()
 
 
-TEXTS = ["Hello, World's 12 cats!", None, "", "  \t\n", "naïve Ærø ÀÉ, x.", "a b　c ẛ̣ İstanbul ΑΣ Σ", "don't <|endoftext|> can't", "word " * 3000, "y" * 5000, "é café, \x1c\x1d z\x85q", "😀 漢字かな", "a\x1cb \x1f c"]
+TEXTS = ["Hello, World's 12 cats!", None, "", "  \t\n", "naïve Ærø ÀÉ, x.", "a b　c ẛ̣ İstanbul ΑΣ Σ", "don't <|endoftext|> can't", "word " * 3000, "y" * 5000, "é café, \x1c\x1d z\x85q", "😀 漢字かな", "a\x1cb \x1f c", "Wort### (x) end... it's &&& a-b x-- <|endoftext|>. LES!? q__`~ ﬁ é́ é", " lead  \x0b\x0c tail "]
 
 
 def test_ids_equal_the_library():
     tokenizer = Tokenizer.from_file(token_ids.default_tokenizer())
     encode = token_ids.part_encoder(token_ids.default_tokenizer())
-    for text, ids in zip(TEXTS, encode([(x or "").encode() for x in TEXTS]), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+    ids, counts = encode(pa.array(TEXTS), 1)
+    for text, ids in zip(TEXTS, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert ids.tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+
+
+def test_ids_of_random_parts_equal_the_library(monkeypatch):
+    rng = np.random.default_rng(3)
+    signs = [*"!\"#$%&()*+,-./:;=?@^_`~<|>'", *"abéÀßIİñ漢1٣ \t"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(3000)]
+    monkeypatch.setattr(token_ids, "KEPT_BYTES", 20_000)
+    monkeypatch.setattr(token_ids, "BLOCK", 50)
+    tokenizer, encode = Tokenizer.from_file(token_ids.default_tokenizer()), token_ids.part_encoder(token_ids.default_tokenizer())
+    for low in range(0, 3000, 500):
+        ids, counts = encode(pa.array(texts[low : low + 500]), 1)
+        for text, own in zip(texts[low : low + 500], np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert own.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text
 
 
 def test_files_against_brute_force(spark):
