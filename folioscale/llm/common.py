@@ -52,10 +52,16 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BYTES, str(ARROW_BYTES))
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow with batches of ARROW_BYTES bytes at most, but for a single longer row."""
+def map_arrow(df: DataFrame, function, schema: str, rows: int | None = None) -> DataFrame:
+    """mapInArrow with batches of ARROW_BYTES bytes at most, but for a single longer row, and of so many rows at most."""
     bound_batches(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, rows):
+                yield batch.slice(low, rows)
+
+    return df.mapInArrow((lambda batches: function(sliced(batches))) if rows else function, schema)
 
 
 def masked(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

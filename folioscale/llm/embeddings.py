@@ -151,7 +151,7 @@ def deal_cells(classes: DataFrame, seed: int, threshold: float = THRESHOLD) -> D
         ready = [c for c in large if c in centers]
         if not ready:
             break
-        moved = common.cut(common.map_arrow(members.where(F.col("cell").isin(ready)), _deal(centers, OVERLAP, threshold), _MEMBER), "cells")
+        moved = common.cut(common.map_arrow(members.where(F.col("cell").isin(ready)), _deal(centers, OVERLAP, threshold), _MEMBER, rows=1024), "cells")
         done.append(members.where(~F.col("cell").isin(ready)))
         members = moved
         sizes = {r.cell: r.n for r in moved.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row for each of the cells
@@ -402,7 +402,7 @@ def expand(found: DataFrame, united: DataFrame, members: DataFrame, classes: Dat
     while True:
         asked = reached.where("q <> s").select(F.least("q", "s").alias("a"), F.greatest("q", "s").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
         asked = asked.join(units.withColumnRenamed("rep", "a"), "a").join(units.select(F.col("rep").alias("b"), F.col("unit").alias("other")), "b").select("a", "b", "unit", "other")
-        new = common.cut(common.map_arrow(asked, verify, "a long, b long, near double"), "reached")
+        new = common.cut(common.map_arrow(asked, verify, "a long, b long, near double", rows=4096), "reached")
         if new.isEmpty():
             return known
         known = known.union(new)
@@ -425,7 +425,7 @@ def true_links(classes: DataFrame, threshold: float, queries: int) -> DataFrame:
             own = rep[i] != reps[j]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], reps[j])[own]), pa.array(np.maximum(rep[i], reps[j])[own])], names=["a", "b"])
 
-    return common.cut(common.map_arrow(classes.select("rep", "unit"), compare, "a long, b long").distinct(), "truth")
+    return common.cut(common.map_arrow(classes.select("rep", "unit"), compare, "a long, b long", rows=512).distinct(), "truth")
 
 
 def audit_links(classes: DataFrame, threshold: float) -> DataFrame | None:
@@ -467,7 +467,7 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, key:
     links. An empty table has no rows.
     """
     raw = table.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
-    keyed = common.map_arrow(raw, _keyed, "vec_id long, key binary, unit binary")
+    keyed = common.map_arrow(raw, _keyed, "vec_id long, key binary, unit binary", rows=4096)
     rows = common.cut(keyed.groupBy("vec_id").agg(F.min(F.when(F.col("key").isNotNull(), F.struct("key", "unit"))).alias("u")).select("vec_id", "u.key", "u.unit"), "vectors")
     valid = rows.where("vec_id is not null and key is not null")
     classes = common.cut(valid.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("unit").alias("unit")), "classes")

@@ -170,8 +170,9 @@ def mix_sources(docs: DataFrame, repetition_limit: float | None = REPETITION_LIM
     if mixed is None:
         return docs
     cuts = common.cut(cuts_of(slim, mixed, blocks_of(slim, mixed)), "cuts")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _source(source).alias("skey"), _row_key(key, text).alias("row_key"))
-    return _scheduled(rows, mixed, cuts).select("_row.*")
+    held, at = common.masked(docs)
+    rows = held.select("*", _source(at[source]).alias("skey"), _row_key(at[key], at[text]).alias("row_key"))
+    return _scheduled(rows, mixed, cuts).select(*held.columns).toDF(*docs.columns)
 
 
 def schedule(docs: DataFrame, repetition_limit: float | None = REPETITION_LIMIT, target_entropy: float | None = None, budget: float | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

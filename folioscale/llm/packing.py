@@ -112,78 +112,84 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
     has a sequence of its own. A null length or one under 1 takes no room: sequence_id and offset are null. Repeated
     rows are pieces of their own. An empty table stays empty.
     """
-    spark = pieces.sparkSession
     kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    rows = pieces.select(*[F.col(f"`{c}`") for c in kept])
-    fields = StructType([*rows.schema.fields, StructField("_pass", IntegerType()), StructField("_open", BooleanType()), StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    rows, at = common.masked(pieces.select(*[F.col(f"`{c}`") for c in kept]))
+    masked, size_of = rows.columns, at[length]
+    fields = StructType([*rows.schema.fields, StructField("pass", IntegerType()), StructField("open", BooleanType()), StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    names = [*masked, "pass", "open", "sequence_id", "offset"]
 
     def run(number: int, last: bool):
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
             base = (number << 56) + (TaskContext.get().partitionId() << 32)
-            packer, held = SumOfSquares(capacity), {}  # of open bins: slices of one row with its offset
-            names = None
-
-            def given(parts: list[tuple[pa.RecordBatch, int | None, int | None]], still_open: bool) -> pa.RecordBatch:
-                table = pa.Table.from_batches([x[0] for x in parts]).combine_chunks()
-                columns = [table.column(c) for c in kept] + [pa.array([number] * len(parts), pa.int32()), pa.array([still_open] * len(parts)), pa.array([None if x[1] is None else base + x[1] for x in parts], pa.int64()), pa.array([x[2] for x in parts], pa.int64())]
-                return pa.Table.from_arrays(columns, names=names).combine_chunks().to_batches()[0]
+            packer = SumOfSquares(capacity)
+            held: dict[int, list[tuple[pa.RecordBatch, int, int]]] = {}  # of open bins: a row's batch, its place there, its offset
+
+            def given(parts: list[tuple[pa.RecordBatch, int, int | None, int | None]], still_open: bool) -> Iterator[pa.RecordBatch]:
+                by: dict[int, list] = {}
+                for part in parts:
+                    by.setdefault(id(part[0]), []).append(part)
+                for own in by.values():
+                    taken = own[0][0].take(pa.array([x[1] for x in own], pa.int32()))
+                    n = len(own)
+                    more = [pa.array([number] * n, pa.int32()), pa.array([still_open] * n), pa.array([None if x[2] is None else base + x[2] for x in own], pa.int64()), pa.array([x[3] for x in own], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*taken.columns, *more], names=names)
 
             if last:  # at most PASS_ROWS rows
                 whole = [*batches]
                 if not whole:
                     return
-                names = [*kept, "_pass", "_open", "sequence_id", "offset"]
                 table = pa.Table.from_batches(whole).combine_chunks()
                 if not table.num_rows:
                     return
-                where, offset = best_fit_decreasing(table.column(length).to_numpy().astype(np.int64), capacity)
-                columns = [table.column(c) for c in kept] + [pa.array(np.full(len(where), number, np.int32)), pa.array(np.zeros(len(where), bool)), pa.array(base + where), pa.array(offset)]
+                where, offset = best_fit_decreasing(table.column(size_of).to_numpy().astype(np.int64), capacity)
+                columns = [table.column(c) for c in masked] + [pa.array(np.full(len(where), number, np.int32)), pa.array(np.zeros(len(where), bool)), pa.array(base + where), pa.array(offset)]
                 yield from pa.Table.from_arrays(columns, names=names).combine_chunks().to_batches()
                 return
             for batch in batches:
-                names = [*kept, "_pass", "_open", "sequence_id", "offset"]
                 done = []
-                for i, size in enumerate(batch.column(length).to_pylist()):
-                    row = batch.slice(i, 1)
+                for i, size in enumerate(batch.column(size_of).to_pylist()):
                     if size is None or size < 1:
-                        done.append((row, None, None))
+                        done.append((batch, i, None, None))
                     elif size > capacity:
-                        done.append((row, packer.made, 0))
+                        done.append((batch, i, packer.made, 0))
                         packer.made += 1
                     else:
-                        bin_number, at, full = packer.put(int(size))
-                        held.setdefault(bin_number, []).append((row, bin_number, at))
+                        bin_number, offset, full = packer.put(int(size))
+                        held.setdefault(bin_number, []).append((batch, i, offset))
                         if full:
-                            done += held.pop(bin_number)
-                if done:
-                    yield given(done, False)
-            rest = [x for parts in held.values() for x in parts]
-            for i in range(0, len(rest), 4096):
-                yield given(rest[i : i + 4096], True)
+                            done += [(x, j, bin_number, o) for x, j, o in held.pop(bin_number)]
+                yield from given(done, False)
+                # Of this batch only the rows of open bins stay in memory.
+                left = [(b, k) for b, parts in held.items() for k, x in enumerate(parts) if x[0] is batch]
+                slim = batch.take(pa.array([held[b][k][1] for b, k in left], pa.int32()))
+                for j, (b, k) in enumerate(left):
+                    held[b][k] = (slim, j, held[b][k][2])
+            yield from given([(x, j, b, o) for b, parts in held.items() for x, j, o in parts], True)
 
         return place
 
-    number, placed = 0, []
+    number, placed, before = 0, [], None
     while True:
         out = common.cut(common.map_arrow(rows, run(number, False), fields), "packed")
-        placed.append(out.where("not _open").drop("_pass", "_open"))
-        rows = out.where("_open").select(*[F.col(f"`{c}`") for c in kept])
+        placed.append(out.where("not open").drop("pass", "open"))
+        rows = out.where("open").select(*masked)
         left = rows.count()
         if not left:
             break
         number += 1
-        if left <= PASS_ROWS or number > 6:
-            final = rows.repartition(-(-left // PASS_ROWS))
-            out = common.cut(common.map_arrow(final, run(number, True), fields), "packed")
-            placed.append(out.drop("_pass", "_open"))
+        tasks = -(-left // PASS_ROWS)
+        if tasks == 1 or left == before:  # no pass can make fewer open pieces out of pieces that none fits
+            out = common.cut(common.map_arrow(rows.repartition(tasks), run(number, True), fields), "packed")
+            placed.append(out.drop("pass", "open"))
             break
-        rows = rows.repartition(-(-left // PASS_ROWS))
+        before = left
+        rows = rows.repartition(tasks)
     result = placed[0]
     for more in placed[1:]:
         result = result.unionByName(more)
-    return result
+    return result.toDF(*kept, "sequence_id", "offset")
 
 
 def fill_sequences(placed: DataFrame) -> DataFrame:

@@ -227,11 +227,12 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     The statistics are taken twice, for the estimates and for the verdicts, so that no text is written in between.
     """
     common.bound_batches(docs.sparkSession)
-    measured = docs.select("lang", "source", statistics_column(text).alias("_m"))
-    known = estimates(common.cut(measured.select("lang", "source", "_m.*"), "statistics"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select(row, "lang", "source", statistics_column(text).alias("_m")).select("_row", "lang", "source", "_m.*")
-    return judge(rows, known).where("kept").select("_row.*")
+    held, at = common.masked(docs)
+    keys = [F.col(at["lang"]).alias("lang"), F.col(at["source"]).alias("source")]
+    measured = held.select(*keys, statistics_column(at[text]).alias("m")).select("lang", "source", "m.*")
+    known = estimates(common.cut(measured, "statistics"))
+    rows = held.select("*", *keys, statistics_column(at[text]).alias("m")).select(*held.columns, "lang", "source", "m.*")
+    return judge(rows, known).where("kept").select(*held.columns).toDF(*docs.columns)
 
 
 def op5_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

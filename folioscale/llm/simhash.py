@@ -67,6 +67,16 @@ def fingerprint_of(text: bytes, size: int = SHINGLE) -> int:
 def fingerprints(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """Fingerprints of a batch of texts, as unsigned numbers; long texts one at a time."""
     out, short, hashes, sizes = np.zeros(len(texts), np.uint64), [], [], []
+
+    def settle() -> None:
+        if short:
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            ones = np.add.reduceat(_counts(np.array(hashes, np.uint64)), starts, axis=0, dtype=np.int32)
+            bits = 2 * ones > np.array(sizes)[:, None]
+            out[short] = np.packbits(bits, axis=1).view(">u8").ravel()
+        for held in (short, hashes, sizes):
+            held.clear()
+
     for i, text in enumerate(texts):
         if len(text) > 1 << 18:
             out[i] = fingerprint_of(text, size)
@@ -74,11 +84,9 @@ def fingerprints(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
             short.append(i)
             hashes += own
             sizes.append(len(own))
-    if short:
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        ones = np.add.reduceat(_counts(np.array(hashes, np.uint64)), starts, axis=0, dtype=np.int32)
-        bits = 2 * ones > np.array(sizes)[:, None]
-        out[short] = np.packbits(bits, axis=1).view(">u8").ravel()
+            if len(hashes) > 1 << 17:
+                settle()
+    settle()
     return out
 
 
@@ -260,15 +268,16 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, text: str = "text
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE, text: str = "text") -> DataFrame:
     """One document of each group, that with the smallest doc_id, with the columns of docs. Same cases as near_duplicates."""
     common.bound_batches(docs.sparkSession)
-    held = common.cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), fingerprint_column(text).alias("fp")), "printed")
-    slim = held.select(F.col("_row.doc_id").alias("doc_id"), "fp")
+    masked, at = common.masked(docs)
+    held = common.cut(masked.select("*", fingerprint_column(at[text]).alias("fp")), "printed")
+    slim = held.select(F.col(at["doc_id"]).alias("doc_id"), "fp")
     groups = fingerprint_groups(slim, distance)
     first = slim.join(groups, "fp").where("doc_id <=> component_id").groupBy("root").agg(F.min("fp").alias("fp"), F.first("component_id").alias("component_id"))
-    first = common.cut(first.select("fp", F.col("component_id").alias("_id")), "first")
-    kept = held.join(first, (held["fp"] == first["fp"]) & F.col("_row.doc_id").eqNullSafe(F.col("_id"))).select("_row", first["fp"])
-    if slim.join(first, (slim["fp"] == first["fp"]) & slim["doc_id"].eqNullSafe(F.col("_id"))).count() > first.count():
+    first = common.cut(first.select("fp", F.col("component_id").alias("id")), "first")
+    kept = held.join(first, (held["fp"] == first["fp"]) & F.col(at["doc_id"]).eqNullSafe(F.col("id"))).select(*masked.columns, first["fp"])
+    if slim.join(first, (slim["fp"] == first["fp"]) & slim["doc_id"].eqNullSafe(F.col("id"))).count() > first.count():
         kept = kept.dropDuplicates(["fp"])  # rows that repeat both doc_id and fingerprint
-    return kept.select("_row.*")
+    return kept.select(*masked.columns).toDF(*docs.columns)
 
 
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,8 +31,6 @@ MIN_SHARE = 0.002
 MIN_WEIGHT = 2.0
 #: The likelihood-ratio statistic from which a beginning counts as toxic.
 MIN_EVIDENCE = 20.0
-#: Entries of the lexicon at most: the strongest, far more than any list of insults has.
-MAX_LEXICON = 50_000
 THRESHOLD = 0.3
 #: Words added to every text's length: a single hit in a very short text is not all of it.
 LENGTH_PRIOR = 20
@@ -136,7 +134,7 @@ def _strings(column: pa.Array) -> list[str]:
 def density_column(model: ToxicityModel, text: str = "text") -> Column:
     """struct<density, hits> of a text column."""
     key = hash((tuple(sorted(model.lexicon.items())), tuple(model.exceptions)))
-    shared = SparkSession.getActiveSession().sparkContext.broadcast(model)  # MAX_LEXICON entries at most
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(model)  # entries of at most MAX_LABELLED texts
 
     @arrow_udf("struct<density:double,hits:long>")
     def measure(column: pa.Array) -> pa.Array:
@@ -197,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, text: str
     weight = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     strong = counts.where(F.col("t") >= max(MIN_TOXIC, MIN_SHARE * toxic)).withColumn("weight", weight)
     strong = strong.where((F.col("weight") >= MIN_WEIGHT) & (_evidence(F.col("t"), F.col("c"), toxic, clean) >= MIN_EVIDENCE))
-    rows = strong.orderBy(F.desc("weight"), "entry").limit(MAX_LEXICON).collect()
+    rows = strong.orderBy(F.desc("weight"), "entry").collect()  # at least MIN_TOXIC of at most MAX_LABELLED texts hold each
     # A beginning that nearly always goes on alike gives way to the longer one, which clean words meet less easily.
     times = {r.entry: r.t for r in rows}
     vague = {p for q, t in times.items() if q[-1] != " " for p in (q[:n] for n in range(2, len(q))) if t >= 0.9 * times.get(p, math.inf)}
@@ -244,8 +242,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFr
     """The rows of docs that are not predicted toxic, with its columns. Same cases as toxicity."""
     model = fit(docs, labels, text=text)
     common.bound_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), density_column(model, text).alias("_m"))
-    return _scored(rows, model).where("predicted = 0").select("_row.*")
+    held, at = common.masked(docs)
+    rows = held.select("*", density_column(model, at[text]).alias("_m"))
+    return _scored(rows, model).where("predicted = 0").select(*held.columns).toDF(*docs.columns)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
