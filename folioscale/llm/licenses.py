@@ -8,6 +8,7 @@ and white space as single spaces. Digests meet in a hash join; texts are never c
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,10 +76,28 @@ NAMES = {
 }
 #: How a notice names its licence.
 FORMS = ["Licensed under {}.", "Licensed under the {}.", "Released under {}.", "Released under the {}.", "Distributed under the {}.", "This work is licensed under {}.", "This work is licensed under the {}.", "This work is licensed under a {}.", "This software is licensed under the {}."]
-#: Every known text holds one of these in its lower-case form, however it is spelled; other texts cannot match.
-ANCHORS = ("licen", "permission", "reserved", "redistribution")
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSL = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_0BSD = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_APACHE_HEAD = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_MPL_HEAD = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+_GNU_HEAD = """This program is free software: you can redistribute it and/or modify it under the terms of the {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {0} for more details.
+You should have received a copy of the {0} along with this program. If not, see <https://www.gnu.org/licenses/>."""
+_GNU = [("GPL-2.0", "GNU General Public License", "2"), ("GPL-3.0", "GNU General Public License", "3"), ("LGPL-2.1", "GNU Lesser General Public License", "2.1"), ("LGPL-3.0", "GNU Lesser General Public License", "3"), ("AGPL-3.0", "GNU Affero General Public License", "3")]
 WHOLE = [("MIT", _MIT), ("MIT", "MIT License\n" + _MIT), ("ISC", _ISC), ("ISC", "ISC License\n" + _ISC), ("Zlib", _ZLIB), ("Zlib", "zlib License\n" + _ZLIB)]
 WHOLE += [(i, title + text) for i, text in _BSD.items() for title in ("", f"BSD {i[4:]} License\n")]
+WHOLE += [("Unlicense", _UNLICENSE), ("BSL-1.0", _BSL), ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n" + _BSL), ("0BSD", _0BSD), ("0BSD", "BSD Zero Clause License\n" + _0BSD)]
+#: The entire notices by which files are put under the long licences.
+WHOLE += [("Apache-2.0", _APACHE_HEAD), ("MPL-2.0", _MPL_HEAD), *((i, _GNU_HEAD.format(name, version)) for i, name, version in _GNU)]
 #: Notices that grant nothing.
 RESERVED = [("All-Rights-Reserved", "All rights reserved.")]
 
@@ -101,29 +120,45 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def _anchored(text: Column) -> Column:
+#: Parts of words that known texts may be sought by: whatever the rules do, they stand in the text as it was written.
+ANCHORS = ("licen", "permission", "reserved", "redistribut", "released", "distributed")
+#: What the rules take out of the middle of words: an anchor may stand on both sides of it.
+TAKEN = ("http", "www.")
+
+
+def anchors_of(texts: list[str]) -> list[str] | None:
+    """The anchors that these texts need, each with one; None if a text has none, and every text must be read."""
+    lines = [re.sub(RULES[0][0], " ", text.lower()) for text in texts]  # copyright lines go
+    found = {next((a for a in ANCHORS if a in line), None) for line in lines}
+    return None if None in found else sorted(found)
+
+
+def may_hold(text: Column, anchors: list[str]) -> Column:
+    """Whether a text can have the canonical form of a text with one of the anchors: no rule but those of TAKEN makes an anchor."""
     low = F.lower(text)
-    return functools.reduce(Column.__or__, [F.contains(low, F.lit(a)) for a in ANCHORS])
+    return functools.reduce(Column.__or__, [F.contains(low, F.lit(a)) for a in (*anchors, *TAKEN)])
 
 
 def scan(docs: DataFrame, extra: list[tuple[str, str]] = (), text: str = "text") -> DataFrame:
     """Matches: doc_id, line (0: the whole text), license_id. extra: more licences as (identifier, text).
 
-    Texts and lines without any anchor are passed over, unless a text of extra has none itself. A text of one line can match as a whole and as line 1. Texts whose canonical form is empty, null texts too, match
-    nothing. Repeated rows each give their matches. An empty table has none.
+    A text of one line can match as a whole and as line 1. Texts whose canonical form is empty, null texts too, match
+    nothing. Repeated rows each give their matches. An empty table has none. Texts and lines that cannot match, because
+    they hold no part of a word that each known text has, are passed over before the rules run.
     """
     texts = known_texts() + list(extra)
-    known = docs.sparkSession.createDataFrame(texts, "license_id string, text string")
-    known = known.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    known = docs.sparkSession.createDataFrame(texts, "license_id string, text string").withColumn("canon", canonical(F.col("text"))).where("canon <> ''")
+    known = known.groupBy(F.sha2("canon", 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
     rows = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
-    sure = all(any(a in t.lower() for a in ANCHORS) for _, t in texts)
-    if sure:
-        rows = rows.where(_anchored(F.col("body")))
+    anchors = anchors_of([t for _, t in texts])
+    if anchors:
+        rows = rows.where(may_hold(F.col("body"), anchors))
     units = rows.select("doc_id", F.posexplode(F.concat(F.array("body"), F.split("body", "\n"))).alias("line", "unit"))
-    if sure:
-        units = units.where(_anchored(F.col("unit")))
-    canon = units.select("doc_id", "line", canonical(F.col("unit")).alias("canon")).where("canon <> ''")
-    return canon.select("doc_id", "line", F.sha2("canon", 256).alias("digest")).join(F.broadcast(known), "digest").select("doc_id", "line", "license_id")  # known: a fixed table
+    if anchors:
+        units = units.where(may_hold(F.col("unit"), anchors))
+    # The digest is never null, so that the join adds no filter that would run the rules again.
+    read = units.select("doc_id", "line", F.coalesce(digest(F.col("unit")), F.lit("")).alias("digest"))
+    return read.join(F.broadcast(known), "digest").select("doc_id", "line", "license_id")  # known: a fixed table and extra
 
 
 def op6_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,3 +147,15 @@ def test_reserved_rights_and_entire_bsd_texts(spark):
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.license_id) for r in got if r.line == 0} == {(2, "All-Rights-Reserved"), (3, "BSD-3-Clause"), (4, "BSD-2-Clause")}
     assert {(r.doc_id, r.line, r.license_id) for r in got if r.doc_id < 3} == {(1, 2, "All-Rights-Reserved"), (2, 0, "All-Rights-Reserved"), (2, 1, "All-Rights-Reserved")}
+
+
+def test_texts_are_only_passed_over_when_they_cannot_match(spark):
+    rows = [(1, "Liwww.censed under CC BY 4.0"), (2, "RE\u00adleased under CC0 1.0"), (3, "Released -- under: CC0 1.0!"), (4, "plain " * 40_000), (None, "x\nAll RIGHTS reserved"), (6, "rehttps://leased under CC BY 4.0")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.line, r.license_id) for r in got} == {(1, 0, "CC-BY-4.0"), (1, 1, "CC-BY-4.0"), (3, 0, "CC0-1.0"), (3, 1, "CC0-1.0"), (None, 2, "All-Rights-Reserved"), (6, 0, "CC-BY-4.0"), (6, 1, "CC-BY-4.0")}
+    assert licenses.anchors_of(["Copyright: all permission\ndo as you like"]) is None
+    noted = licenses.scan(spark.createDataFrame([(1, "do as you like")], "doc_id long, text string"), [("own", "Copyright: all permission\ndo as you like")]).collect()
+    assert {(r.line, r.license_id) for r in noted} == {(0, "own"), (1, "own")}
+    whole = [(i, text) for i, (_, text) in enumerate(licenses.WHOLE)]
+    found = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(whole, "doc_id long, text string")).collect() if r.line == 0}
+    assert found == {i: name for i, (name, _) in enumerate(licenses.WHOLE)}
