@@ -1,10 +1,15 @@
 """Operator 5: quality rules as robust multivariate outliers.
 
 Each text becomes a vector of transformed statistics. For each language and source the minimum covariance determinant
-is estimated over all rows that pass the base rules: from two starts, concentration steps keep the share H of rows with
-the smallest Mahalanobis distances and take their mean and covariance, until the determinant settles; the start with
-the smaller determinant wins. A step is two aggregations with partial sums: a histogram of distances gives each group's
-threshold, then sums and products give its moments. Nothing gathers a group's rows.
+is estimated over all rows that pass the base rules: from several starts (quartiles, all rows, small hashed subsets),
+concentration steps keep the share H of rows with the smallest Mahalanobis distances and take their mean and covariance,
+until the determinant settles; after two steps only the start with the smallest determinant goes on. A step is two aggregations with partial
+sums: a histogram of distances gives each group's threshold, then sums and products give its moments. Nothing gathers a
+group's rows.
+
+Most texts have no symbol and no repeated line, so those statistics have no spread among the nearest rows. A statistic
+is known no finer than what one more symbol, line, repeat, word or character changes; the mean square of that step over
+the same rows, which is the group's own, is added to each variance.
 """
 
 from __future__ import annotations
@@ -29,9 +34,12 @@ H = 0.75
 STEPS = 12
 #: Share of rows of a normal distribution beyond the cut.
 TAIL = 1e-6
-#: Statistics with their smallest standard deviation: most texts have no symbol and no repeated line at all, and
-#: a first one must not stand infinitely far out.
-DIMENSIONS = {"log_words": 0.9, "log_word_length": 0.06, "root_symbols": 0.02, "dup_lines": 0.12, "repeat_words": 0.08}
+#: Starts from small subsets, and about how many rows of a group each takes.
+SUBSETS, SUBSET_ROWS = 2, 50
+#: Words that a three-word window and its first repeat cover.
+REPEAT_WORDS = 6
+#: Transformed statistics. Counts over the square root of their chances have the same spread in texts of every length.
+DIMENSIONS = ["log_words", "log_word_length", "root_symbols", "dup_lines", "repeat_words"]
 _P = len(DIMENSIONS)
 _PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
 _STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -75,9 +83,16 @@ def statistics_column(text: str = "text") -> Column:
     return measure(F.col(text).cast("string"))
 
 
-def _vector() -> list[Column]:
-    words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
-    return [F.log1p("n_words"), F.log(chars / words), F.sqrt(F.col("n_symbols") / chars), F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)), F.col("n_repeat_words") / words]
+def _vector() -> list[tuple[Column, Column]]:
+    """Each statistic and the square of its step."""
+    words, chars, lines = (F.greatest(c, F.lit(1)).cast("double") for c in ("n_words", "word_chars", "n_lines"))
+    return [
+        (F.log1p("n_words"), 1 / (words * words)),
+        (F.log(chars / words), 1 / (chars * chars)),
+        (F.sqrt(F.col("n_symbols") / chars), 1 / chars),
+        (F.col("n_dup_lines") / F.sqrt(lines), 1 / lines),
+        (F.col("n_repeat_words") / F.sqrt(words), REPEAT_WORDS**2 / words),
+    ]
 
 
 def base_failed() -> Column:
@@ -118,35 +133,26 @@ def _bin() -> Column:
     return F.least(F.floor(F.log2(1 + _distance()) * 64), F.lit(1 << 13)).cast("int")
 
 
-_MOMENTS = [f"s{i}" for i in range(_P)] + [f"s{i}_{j}" for i, j in _PAIRS]
 _PARAMS = "g string, start int, n long, logdet double, " + ", ".join([f"m{i} double" for i in range(_P)] + [f"p{i}_{j} double" for i, j in _PAIRS])
 
 
-def scatter(mean_square: np.ndarray, factor: float, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Covariances with at least the floors' variances, their inverses and log determinants."""
-    cov = mean_square * factor
-    short = np.maximum(0, floors**2 - np.einsum("gii->gi", cov))
-    cov = cov + short[:, :, None] * np.eye(len(floors))
-    return cov, np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
-
-
 def consistency(h: float, dimensions: int) -> float:
     """What the covariance of the share h nearest rows of a normal distribution is short by."""
     return h / gamma_share(dimensions / 2 + 1, chi_square(dimensions, h) / 2)
 
 
 def _solve(factor: float):
-    floors = np.array(list(DIMENSIONS.values()))
-
     def solve(batches):
         for batch in batches:
             rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
             count = np.maximum(rows["n"], 1).astype(float)
             mean = np.stack([rows[f"s{i}"] for i in range(_P)], 1) / count[:, None]
-            square = np.zeros((len(count), _P, _P))
+            cov = np.zeros((len(count), _P, _P))
             for i, j in _PAIRS:
-                square[:, i, j] = square[:, j, i] = rows[f"s{i}_{j}"] / count - mean[:, i] * mean[:, j]
-            _, inverse, logdet = scatter(square, factor, floors)
+                cov[:, i, j] = cov[:, j, i] = factor * (rows[f"s{i}_{j}"] / count - mean[:, i] * mean[:, j])
+            for i in range(_P):
+                cov[:, i, i] = np.maximum(cov[:, i, i], 0) + rows[f"r{i}"] / count
+            inverse, logdet = np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
             columns = [batch.column("g"), batch.column("start"), batch.column("n"), pa.array(logdet)]
             columns += [pa.array(mean[:, i].copy()) for i in range(_P)] + [pa.array(inverse[:, i, j].copy()) for i, j in _PAIRS]
             yield pa.RecordBatch.from_arrays(columns, names=["g", "start", "n", "logdet", *[f"m{i}" for i in range(_P)], *[f"p{i}_{j}" for i, j in _PAIRS]])
@@ -155,32 +161,41 @@ def _solve(factor: float):
 
 
 def _moments(rows: DataFrame, factor: float) -> DataFrame:
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(_P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in _PAIRS]
+    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(_P)] + [F.sum(f"r{i}").alias(f"r{i}") for i in range(_P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in _PAIRS]
     return common.cut(rows.groupBy("g", "start").agg(F.count("*").alias("n"), *sums).mapInArrow(_solve(factor), _PARAMS), "moments")
 
 
+def subset(start: int, rows: Column, n: Column) -> Column:
+    """Whether a row belongs to a small start: by a hash of its statistics, about SUBSET_ROWS rows of n."""
+    return F.pmod(F.xxhash64(*[f"x{i}" for i in range(_P)], F.lit(start)), n) < rows
+
+
 def fit(points: DataFrame, h: float = H) -> DataFrame:
-    """Robust means and inverse covariances of each group g of points x0, x1, ...: one row of _PARAMS per group."""
-    quarter = points.groupBy("g").agg(*[F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q{i}") for i in range(_P)], F.count("*").alias("n"))
-    floors = list(DIMENSIONS.values())
-    spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(floors[i])) for i in range(_P)]
-    middle = quarter.select("g", F.lit(0).alias("start"), "n", F.lit(0.0).alias("logdet"), *[F.col(f"q{i}")[1].cast("double").alias(f"m{i}") for i in range(_P)], *[(1 / (spread[i] * spread[i]) if i == j else F.lit(0.0)).alias(f"p{i}_{j}") for i, j in _PAIRS])
-    plain = _moments(points.withColumn("start", F.lit(1)), 1.0)
+    """Robust means and inverse covariances of each group g of points x0, r0, x1, ...: one row of _PARAMS per group."""
+    quarter = points.groupBy("g").agg(*[F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q{i}") for i in range(_P)], *[F.avg(f"r{i}").alias(f"r{i}") for i in range(_P)], F.count("*").alias("n"))
+    quarter = common.cut(quarter, "quartiles")
+    spread = [F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + F.col(f"r{i}") for i in range(_P)]
+    middle = quarter.select("g", F.lit(0).alias("start"), "n", F.lit(0.0).alias("logdet"), *[F.col(f"q{i}")[1].cast("double").alias(f"m{i}") for i in range(_P)], *[(1 / spread[i] if i == j else F.lit(0.0)).alias(f"p{i}_{j}") for i, j in _PAIRS])
+    sizes = quarter.select("g", F.col("n").alias("all"))
+    started = points.join(sizes, "g").withColumn("start", F.explode(F.array(*map(F.lit, range(1, 2 + SUBSETS)))))
+    plain = _moments(started.where((F.col("start") == 1) | subset(F.col("start"), F.lit(SUBSET_ROWS), F.col("all"))), 1.0)
     params = common.cut(middle.unionByName(plain), "moments")
-    sizes = plain.select("g", F.col("n").alias("all"))
     before = None
-    for _ in range(STEPS):
+    for step in range(STEPS):
         met = points.join(params.drop("n", "logdet"), "g").withColumn("bin", _bin())
         counts = met.groupBy("g", "start", "bin").agg(F.count("*").alias("n"))
         upto = Window.partitionBy("g", "start").orderBy("bin")  # at most 8193 bins
         cut = counts.withColumn("upto", F.sum("n").over(upto)).join(sizes, "g").where(F.col("upto") >= F.ceil(F.col("all") * h)).groupBy("g", "start").agg(F.min("bin").alias("last"))
         params = _moments(met.join(cut, ["g", "start"]).where("bin <= last"), consistency(h, _P))
-        now = params.agg(F.sum("logdet"), F.count("*")).first()[0]
-        if before is not None and now is not None and abs(now - before) <= 1e-9 * max(1.0, abs(before)):
-            break
-        before = now
-    best = params.groupBy("g").agg(F.min(F.struct("logdet", "start")).alias("b")).select("g", F.col("b.start").alias("start"))
-    return common.cut(params.join(best, ["g", "start"]), "robust")
+        if step == 1:
+            best = params.groupBy("g").agg(F.min(F.struct("logdet", "start")).alias("b")).select("g", F.col("b.start").alias("start"))
+            params = common.cut(params.join(best, ["g", "start"]), "moments")
+        elif step > 1:
+            now = params.agg(F.sum("logdet")).first()[0]
+            if before is not None and (now is None or abs(now - before) <= 1e-6 * max(1.0, abs(before))):
+                break
+            before = now
+    return params
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -188,7 +203,8 @@ def _keyed(rows: DataFrame) -> DataFrame:
     keyed = rows.withColumn("base_failed", base_failed())
     for key, column in (("_l", "lang"), ("_s", "source")):
         keyed = keyed.withColumn(key, F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("")))
-    return keyed.withColumns({f"x{i}": x.cast("double") for i, x in enumerate(_vector())})
+    vector = _vector()
+    return keyed.withColumns({f"x{i}": x.cast("double") for i, (x, _) in enumerate(vector)} | {f"r{i}": r.cast("double") for i, (_, r) in enumerate(vector)})
 
 
 def estimates(rows: DataFrame, h: float = H) -> DataFrame:
@@ -199,7 +215,7 @@ def estimates(rows: DataFrame, h: float = H) -> DataFrame:
     own, shared = F.concat_ws("\u0001", F.lit("own"), "_l", "_s"), F.concat_ws("\u0001", F.lit("lang"), "_l")
     group = F.when(F.col("n") >= MIN_GROUP, own).when(F.col("pool") >= MIN_GROUP, shared).otherwise(F.lit("all"))
     groups = common.cut(counts.join(small, "_l", "left").select("_l", "_s", group.alias("g")), "groups")
-    points = common.cut(good.join(groups, ["_l", "_s"]).select("g", *[f"x{i}" for i in range(_P)]), "points")
+    points = common.cut(good.join(groups, ["_l", "_s"]).select("g", *[f"{c}{i}" for c in "xr" for i in range(_P)]), "points")
     params = fit(points, h).where(F.col("n") >= MIN_ROWS * h).drop("n", "logdet", "start")
     return common.cut(groups.join(params, "g").select("_l", "_s", *[f"m{i}" for i in range(_P)], *[f"p{i}_{j}" for i, j in _PAIRS]), "known")
 
