@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch handed to Python: a batch of long texts is no larger than one of short ones.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -52,16 +54,40 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BYTES, str(ARROW_BYTES))
 
 
+def release() -> None:
+    """Give memory that a worker no longer uses back to the machine: workers wait for the next stage with what they hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(function):
+    """A function of one Arrow column that gives memory back after large batches."""
+
+    @functools.wraps(function)
+    def run(column: pa.Array) -> pa.Array:
+        out = function(column)
+        if column.nbytes > ARROW_BYTES // 4:
+            release()
+        return out
+
+    return run
+
+
 def map_arrow(df: DataFrame, function, schema: str, rows: int | None = None) -> DataFrame:
     """mapInArrow with batches of ARROW_BYTES bytes at most, but for a single longer row, and of so many rows at most."""
     bound_batches(df.sparkSession)
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, rows):
-                yield batch.slice(low, rows)
+            for low in range(0, batch.num_rows, rows or max(1, batch.num_rows)):
+                yield batch.slice(low, rows or batch.num_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(sliced(batches))
+        release()
 
-    return df.mapInArrow((lambda batches: function(sliced(batches))) if rows else function, schema)
+    return df.mapInArrow(run, schema)
 
 
 def masked(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

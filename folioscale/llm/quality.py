@@ -76,6 +76,7 @@ def statistics(text: bytes) -> tuple[int, ...]:
 
 def statistics_column(text: str = "text") -> Column:
     @arrow_udf("struct<" + ",".join(f"{x}:long" for x in _STATS) + ">")
+    @common.released
     def measure(column: pa.Array) -> pa.Array:
         rows = np.array([statistics(x) for x in common.text_bytes(column)], np.int64).reshape(-1, len(_STATS))
         return pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(_STATS))], names=_STATS)

@@ -94,6 +94,7 @@ def fingerprint_column(text: str = "text", size: int = SHINGLE):
     """The fingerprint of a text column as a signed long; a null text is empty, a text without words has zero."""
 
     @arrow_udf("long")
+    @common.released
     def fingerprint(column: pa.Array) -> pa.Array:
         return pa.array(fingerprints(common.text_bytes(column), size).view(np.int64))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of keys and ids that a worker keeps, by estimate, before it starts anew.
-KEPT_BYTES = 96 << 20
+KEPT_BYTES = 64 << 20
 #: Parts whose ids are gathered at once, and letters that are encoded as one text.
 BLOCK, RUN = 1 << 19, 256
 #: Letters, and signs that follow them, which the vocabulary splits from each other and reads alike wherever they stand.

@@ -137,6 +137,7 @@ def density_column(model: ToxicityModel, text: str = "text") -> Column:
     shared = SparkSession.getActiveSession().sparkContext.broadcast(model)  # entries of at most MAX_LABELLED texts
 
     @arrow_udf("struct<density:double,hits:long>")
+    @common.released
     def measure(column: pa.Array) -> pa.Array:
         automaton = _automaton(shared.value, key)
         rows = [density_of(x, automaton) for x in _strings(column)]
