@@ -16,10 +16,15 @@ def join_han(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits; a run of Han characters becomes its overlapping pairs."""
+    """Lower-case runs of letters and digits; a run of Han characters becomes its overlapping pairs.
+
+    Texts without any Han character, most of them, take one expression that runs as compiled code.
+    """
+    plain = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     runs = F.regexp_extract_all(F.lower(join_han(text)), F.lit(RUNS), F.lit(0))
     pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: r.substr(i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda r: F.when(F.rlike(r, F.lit(r"^\p{IsHan}{2,}$")), pairs(r)).otherwise(F.array(r))))
+    pieces = F.flatten(F.transform(runs, lambda r: F.when(F.rlike(r, F.lit(r"^\p{IsHan}{2,}$")), pairs(r)).otherwise(F.array(r))))
+    return F.when(F.rlike(text, F.lit(r"\p{IsHan}")), pieces).otherwise(plain)
 
 
 def fixed_windows(docs: DataFrame, text: str = "text", size: int = WINDOW, stride: int = STRIDE) -> DataFrame:

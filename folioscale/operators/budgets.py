@@ -28,22 +28,22 @@ def greedy_fit(sizes: Column, budget: int) -> Column:
 def page_budgets(rows: DataFrame, group: Sequence[str], order: Sequence[Column], budget: int, floor: int = PAGE_FLOOR) -> DataFrame:
     """rows with bytes: a floor for each, and the rest of the budget by weights that halve from 8, leftovers one by one.
 
-    A group that the floors alone exceed shares the budget evenly.
+    A group whose floors alone exceed the budget is an error.
     """
     by = Window.partitionBy(*group)
     placed = rows.withColumn("_rank", F.row_number().over(by.orderBy(*order))).withColumn("_n", F.count("*").over(by))
     weight = F.floor(F.greatest(F.lit(8) / F.pow(F.lit(2.0), F.col("_rank") - 1), F.lit(1.0)))
     weighed = placed.withColumn("_w", weight).withColumn("_sum", F.sum("_w").over(by))
     rest = F.lit(budget) - F.lit(floor) * F.col("_n")
-    share = F.when(rest >= 0, F.floor(rest * F.col("_w") / F.col("_sum")) + floor).otherwise(F.floor(F.lit(budget) / F.col("_n")))
+    share = F.when(rest >= 0, F.floor(rest * F.col("_w") / F.col("_sum")) + floor).otherwise(F.raise_error(F.lit("not enough bytes for the pages of a group")))
     shared = weighed.withColumn("_share", share.cast("long")).withColumn("_left", F.lit(budget) - F.sum("_share").over(by))
     return shared.withColumn("bytes", F.col("_share") + (F.col("_rank") <= F.col("_left")).cast("long")).drop("_rank", "_n", "_w", "_sum", "_share", "_left")
 
 
 def caps(rows: DataFrame, kind: str, order: Sequence[Column], most: dict[str, int], other: int) -> DataFrame:
-    """The first rows of each kind, as many as its cap; rank in kind."""
+    """The first rows of each kind, as many as its cap; rank in kind. The largest cap is a literal, so Spark limits before it shuffles."""
     cap = F.coalesce(*[F.when(F.col(kind) == k, n) for k, n in most.items()], F.lit(other))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(kind).orderBy(*order))).where(F.col("rank") <= cap)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(kind).orderBy(*order))).where((F.col("rank") <= max(other, *most.values())) & (F.col("rank") <= cap))
 
 
 def promote(nodes: DataFrame, direct: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ QUERIES = {
 }
 ORACLES = {
     "greedy_byte_budget": "WITH RECURSIVE t AS (SELECT conv_id, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations), r AS (SELECT conv_id, 0 AS k, 0::BIGINT AS used, '' AS kept FROM (SELECT DISTINCT conv_id FROM t) UNION ALL SELECT r.conv_id, r.k + 1, CASE WHEN used + size <= 900 THEN used + size ELSE used END, CASE WHEN used + size <= 900 THEN kept || ',' || CAST(t.k AS VARCHAR) ELSE kept END FROM r JOIN t ON t.conv_id = r.conv_id AND t.k = r.k + 1) SELECT conv_id, ltrim(arg_max(kept, k), ',') AS kept FROM r GROUP BY conv_id",
-    "page_budget_alloc": "WITH p AS (SELECT l_orderkey, row_number() OVER w AS rank, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)), q AS (SELECT *, floor(greatest(8 / pow(2, rank - 1), 1)) AS w FROM p), s AS (SELECT *, CAST(CASE WHEN 20000 - 1024 * n >= 0 THEN floor((20000 - 1024 * n) * w / sum(w) OVER (PARTITION BY l_orderkey)) + 1024 ELSE floor(20000 / n) END AS BIGINT) AS share FROM q), b AS (SELECT l_orderkey, share + CASE WHEN rank <= 20000 - sum(share) OVER (PARTITION BY l_orderkey) THEN 1 ELSE 0 END AS bytes FROM s) SELECT l_orderkey, count(*) AS pages, max(bytes) AS most, min(bytes) AS least, CAST(sum(bytes) AS BIGINT) AS total FROM b GROUP BY 1",
+    "page_budget_alloc": "WITH p AS (SELECT l_orderkey, row_number() OVER w AS rank, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)), q AS (SELECT *, floor(greatest(8 / pow(2, rank - 1), 1)) AS w FROM p), s AS (SELECT *, CAST(CASE WHEN 20000 - 1024 * n >= 0 THEN floor((20000 - 1024 * n) * w / sum(w) OVER (PARTITION BY l_orderkey)) + 1024 END AS BIGINT) AS share FROM q), b AS (SELECT l_orderkey, share + CASE WHEN rank <= 20000 - sum(share) OVER (PARTITION BY l_orderkey) THEN 1 ELSE 0 END AS bytes FROM s) SELECT l_orderkey, count(*) AS pages, max(bytes) AS most, min(bytes) AS least, CAST(sum(bytes) AS BIGINT) AS total FROM b GROUP BY 1",
     "generation_caps": "SELECT lang, CAST(rank AS INTEGER) AS rank, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= CASE WHEN lang = 'en' THEN 5 ELSE 3 END",
     "graph_promotion": "WITH n AS (SELECT event_type, round(sum(value), 2) AS score FROM events GROUP BY 1), u AS (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY max(event_id) DESC) AS k FROM events GROUP BY 1, 2), p AS (SELECT user_id AS doc, score * [0.96, 0.62, 0.48, 0.38, 0.32, 0.28][least(k, 6)]::DOUBLE AS score FROM u JOIN n USING (event_type) WHERE k <= 10 UNION ALL SELECT user_id, round(sum(value), 2) FROM events GROUP BY 1) SELECT doc, round(max(score), 4) AS score FROM p GROUP BY doc",
     "keyset_page": "SELECT o_orderpriority, o_orderkey, o_custkey FROM orders WHERE o_orderpriority > '2-HIGH' OR (o_orderpriority = '2-HIGH' AND o_orderkey > 500) ORDER BY 1, 2 LIMIT 25",

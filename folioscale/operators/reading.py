@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscale.functions.text import fixed_windows
-from folioscale.session import table
+from folioscale.session import kept, table
 
 PAGE = 6000
 
@@ -28,12 +28,23 @@ def verify_quotes(citations: DataFrame, texts: DataFrame, key: str) -> DataFrame
 
 
 def containment(quotes: DataFrame, texts: DataFrame, key: str, quote: str, words: int = 5) -> DataFrame:
-    """Which whole texts hold which quotes (key of text, item): a join on word runs of the quotes' beginnings, then verified."""
+    """Which whole texts hold which quotes (key of text, item): a join on the hash of the quotes' first words, then verified.
+
+    Shorter quotes than words join on all the words they have. A quote without any word is found nowhere.
+    """
     runs = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    own = quotes.withColumn("_t", runs(F.col(quote))).withColumn("_head", F.array_join(F.slice("_t", 1, words), " ")).where(F.size("_t") >= words).drop("_t")
-    rows = texts.withColumn("_t", runs(F.col("text"))).where(F.size("_t") >= words)
-    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_t") - words + 1), lambda i: F.array_join(F.slice(F.col("_t"), i, words), " ")))
-    met = rows.withColumn("_head", F.explode(heads)).drop("_t").join(own, "_head")
+    own = kept(quotes.withColumn("_n", F.least(F.size(runs(F.col(quote))), F.lit(words))).where("_n > 0").withColumn("_head", F.xxhash64("_n", F.slice(runs(F.col(quote)), 1, F.col("_n")))), "quotes")
+    sizes = [r[0] for r in own.select("_n").distinct().collect()]  # words at most
+    rows = texts.withColumn("_t", runs(F.col("text")))
+
+    def runs_of(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size("_t") - n + 1, F.lit(1)))
+        return F.when(F.size("_t") >= n, F.transform(places, lambda i: F.xxhash64(F.lit(n), F.slice(F.col("_t"), i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+    heads = [runs_of(n) for n in sizes]
+    if not heads:
+        return texts.join(own.drop("_n", "_head"), F.lit(False)).limit(0)
+    met = rows.withColumn("_head", F.explode(F.array_distinct(F.concat(*heads)))).drop("_t").join(own.drop("_n"), "_head")
     return met.where(F.contains(F.col("text"), F.col(quote))).drop("_head")
 
 
@@ -111,7 +122,7 @@ QUERIES = {
 ORACLES = {
     "read_source_page": "SELECT doc_id, sha256(substr(text, (doc_id % 3) * 700 + 1, 1000)) AS page_sha, (doc_id % 3) * 700 + 1000 >= length(text) AS complete, CASE WHEN (doc_id % 3) * 700 + 1000 < length(text) THEN (doc_id % 3) * 700 + 1000 ELSE -1 END AS next_offset FROM documents",
     "verify_quotes": "SELECT CASE WHEN doc_id % 13 = 0 THEN 'unknown_source' WHEN doc_id % 2 = 0 OR substr(text, 11, 30) = substr(text, 11, 29) || '~' THEN 'exact' ELSE 'differs' END AS verdict, count(*) AS n FROM documents GROUP BY 1",
-    "quote_containment": "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(regexp_extract_all(lower(b.text), '[\\p{L}\\p{N}]+')) >= 5",
+    "quote_containment": "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "page_overlap": f"WITH {_SPANS}, p AS (SELECT doc_id, s AS lo, least(s + 1000, length(text)) AS hi FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 1, 0) + 1, 1000)) AS s FROM documents)) SELECT w.doc_id, CAST(start AS INTEGER) AS start, count(*) AS pages, CAST(min(lo) AS INTEGER) AS first_page FROM w JOIN p ON w.doc_id = p.doc_id AND hi > start AND lo < \"end\" GROUP BY 1, 2",
     "interval_coverage": f"WITH {_SPANS}, k AS (SELECT * FROM w WHERE (start // 1560) % 3 <> 2), m AS (SELECT *, max(\"end\") OVER (PARTITION BY doc_id ORDER BY start, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM k), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, \"end\" ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT doc_id, CAST(min(start) AS INTEGER) AS start, CAST(max(\"end\") AS INTEGER) AS \"end\", count(*) AS spans FROM i GROUP BY doc_id, island",
     "running_offsets": "SELECT conv_id, turn, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS text_start, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(text) AS BIGINT) AS text_end FROM conversations",

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscale.operators import budgets, claims, gates, grids, ledger, lexical, reading, review
+from folioscale.operators import budgets, claims, gates, grids, ledger, lexical, reading, review, views
 from folioscale.plans import releases
 from folioscale.sources import readers
 from folioscale.streaming import ingest
 
-_MODULES = [lexical, gates, reading, ledger, claims, budgets, grids, review, readers, releases, ingest]
+_MODULES = [lexical, gates, reading, ledger, claims, budgets, grids, review, views, readers, releases, ingest]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -42,7 +42,17 @@ def importable(spark: SparkSession) -> None:
 def scratch_path(spark: SparkSession, kind: str) -> str:
     """A fresh folder that driver and executors share: below spark.checkpoint.dir, or an own one where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that driver and executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/folioscale/{kind}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, kind: str) -> DataFrame:
+    """df written to the shared folder and read again, for what is used several times."""
+    spark = df.sparkSession
+    path = scratch_path(spark, kind)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
