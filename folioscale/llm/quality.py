@@ -8,7 +8,8 @@ sums: a histogram of distances gives each group's threshold, then sums and produ
 group's rows.
 
 Most texts have no symbol and no repeated line, so those statistics have no spread among the nearest rows. A statistic
-is known no finer than what one more symbol, line, repeat, word or character changes; the mean square of that step over
+is known no finer than what one more symbol, line, repeat, word or character changes, a mean length no finer than so
+few words allow; the mean square of that step over
 the same rows, which is the group's own, is added to each variance.
 """
 
@@ -38,6 +39,8 @@ TAIL = 1e-6
 SUBSETS, SUBSET_ROWS = 2, 50
 #: Words that a three-word window and its first repeat cover.
 REPEAT_WORDS = 6
+#: Spread of words' lengths over their mean: the mean length of few words is known no better than that allows.
+WORD_SPREAD = 0.5
 #: Transformed statistics. Counts over the square root of their chances have the same spread in texts of every length.
 DIMENSIONS = ["log_words", "log_word_length", "root_symbols", "dup_lines", "repeat_words"]
 _P = len(DIMENSIONS)
@@ -89,7 +92,7 @@ def _vector() -> list[tuple[Column, Column]]:
     words, chars, lines = (F.greatest(c, F.lit(1)).cast("double") for c in ("n_words", "word_chars", "n_lines"))
     return [
         (F.log1p("n_words"), 1 / (words * words)),
-        (F.log(chars / words), 1 / (chars * chars)),
+        (F.log(chars / words), WORD_SPREAD**2 / words),
         (F.sqrt(F.col("n_symbols") / chars), 1 / chars),
         (F.col("n_dup_lines") / F.sqrt(lines), 1 / lines),
         (F.col("n_repeat_words") / F.sqrt(words), REPEAT_WORDS**2 / words),

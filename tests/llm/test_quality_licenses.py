@@ -71,7 +71,7 @@ def quantile(share):
 def vector(s):
     words, chars, _, _, _, lines = (max(v, 1) for v in s)
     x = [math.log1p(s[0]), math.log(chars / words), math.sqrt(s[2] / chars), s[3] / math.sqrt(lines), s[4] / math.sqrt(words)]
-    return x, [1 / words**2, 1 / chars**2, 1 / chars, 1 / lines, 36 / words]
+    return x, [1 / words**2, 0.25 / words, 1 / chars, 1 / lines, 36 / words]
 
 
 def brute_fit(x, step, h=0.75, starts=12):
