@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioscale.operators.views import sentence_spans
 from folioscale.operators.wording import family
 from folioscale.session import table
 
@@ -18,6 +19,8 @@ IMPORT_COPIES, IMPORT_RESERVE = 3, 512 * 1024 * 1024
 ROW_HEIGHTS, ROW_OVERLAP = 2.5, 0.6
 #: Inputs and outputs of a scenario, and characters of a value at most.
 MOST_INPUTS, MOST_OUTPUTS, MOST_VALUE = 1000, 200, 32_767
+#: Nodes of a topic graph.
+LEAST_NODES, MOST_NODES = 3, 24
 
 
 def replacement_counts(rows: DataFrame, identity: list[str], sha: str) -> DataFrame:
@@ -163,6 +166,57 @@ def cache_use(files: DataFrame, cache: DataFrame, version: str) -> DataFrame:
     return files.join(kept, ["sha", "suffix"], "left").withColumn("hit", F.col("hit").isNotNull())
 
 
+def unique_matches(targets: DataFrame, products: DataFrame) -> DataFrame:
+    """target, state (one, none or many) and product of each target: a selection counts only if a single product matches."""
+    found = match_targets(targets, products).groupBy("target").agg(F.count("*").alias("n"), F.min("product").alias("product"))
+    state = F.when(F.col("n") == 1, "one").when(F.col("n") > 1, "many").otherwise("none")
+    return targets.select("target").distinct().join(found, "target", "left").select("target", state.alias("state"), F.when(F.col("n") == 1, F.col("product")).alias("product"))
+
+
+def plan_violations(nodes: DataFrame, active: DataFrame, least: int = LEAST_NODES, most: int = MOST_NODES) -> DataFrame:
+    """graph and violations (sorted names) of each graph that breaks a rule: size, title (twice), source (not active), related (no title of the graph), self.
+
+    nodes: graph, title, source, related; active: source. A null related is none.
+    """
+    titles = nodes.groupBy("graph", F.col("title").alias("_title")).agg(F.count("*").alias("_times"))
+    known = active.select("source").distinct().withColumn("_active", F.lit(True))
+    judged = nodes.join(known, "source", "left").join(titles.select("graph", F.col("_title").alias("related"), F.lit(True).alias("_there")), ["graph", "related"], "left")
+    own = judged.groupBy("graph").agg(
+        F.bool_or(F.col("_active").isNull()).alias("source"),
+        F.bool_or(F.col("related").isNotNull() & F.col("_there").isNull()).alias("related"),
+        F.coalesce(F.bool_or(F.col("related") == F.col("title")), F.lit(False)).alias("self"),
+    )
+    sizes = titles.groupBy("graph").agg(~F.sum("_times").between(least, most)).toDF("graph", "size").join(titles.groupBy("graph").agg((F.max("_times") > 1).alias("title")), "graph")
+    both = own.join(sizes, "graph")
+    named = F.filter(F.array(*[F.when(F.col(x), F.lit(x)) for x in ("related", "self", "size", "source", "title")]), lambda x: x.isNotNull())
+    return both.select("graph", named.alias("violations")).where(F.size("violations") > 0)
+
+
+def claim_plan(units: DataFrame, versions: DataFrame) -> DataFrame:
+    """unit, product and version of each atom: a unit for each version of its product, with a null version if the product has none."""
+    return units.select("unit", "product").join(versions.select("product", "version").distinct(), "product", "left").select("unit", "product", "version")
+
+
+def pending_after(pending: DataFrame, reviewed: DataFrame, key: str) -> DataFrame:
+    """Pending spans (start, end) that lie in no reviewed span of their key."""
+    done = reviewed.select(F.col(key).alias("_key"), F.col("start").alias("_from"), F.col("end").alias("_to")).distinct()
+    return pending.join(done, (F.col(key) == F.col("_key")) & (F.col("_from") <= F.col("start")) & (F.col("end") <= F.col("_to")), "left_anti")
+
+
+def batch_verdicts(reviews: DataFrame, scanned: DataFrame, batch: str, key: str) -> DataFrame:
+    """batch, reviews, unconsumed and accepted: a batch with any review of what was not scanned is refused as a whole."""
+    known = scanned.select(key).distinct().withColumn("_known", F.lit(True))
+    judged = reviews.join(known, key, "left").groupBy(batch).agg(F.count("*").alias("reviews"), F.count_if(F.col("_known").isNull()).alias("unconsumed"))
+    return judged.withColumn("accepted", F.col("unconsumed") == 0)
+
+
+def segment_of(spans: DataFrame, segments: DataFrame, key: str) -> DataFrame:
+    """key, place and start of the segment (start, end) that holds a place; start is null where none does."""
+    at = spans.select(key, "place")
+    own = segments.select(F.col(key).alias("_key"), "start", "end")
+    return at.join(own, (F.col(key) == F.col("_key")) & (F.col("start") <= F.col("place")) & (F.col("place") < F.col("end")), "left").select(key, "place", "start")
+
+
 def q_replacement_candidates(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "part").select(F.col("p_brand").alias("product"), F.col("p_type").alias("version"), family(F.col("p_name")).alias("family"), F.col("p_size").alias("sha"))
     return replacement_counts(rows, ["product", "version", "family"], "sha")
@@ -284,6 +338,53 @@ def q_sheet_lines(spark: SparkSession, sf: str) -> DataFrame:
     return cells.select("l_orderkey", F.array_join(F.transform("cells", lambda c: c["line"]), "\n").alias("text"))
 
 
+def q_unique_selection(spark: SparkSession, sf: str) -> DataFrame:
+    targets = table(spark, sf, "customer").select(F.col("c_custkey").alias("target"), F.lit(None).cast("long").alias("id"), F.concat(F.lit("Nation "), F.col("c_nationkey")).alias("name"), F.lit("").alias("year"))
+    products = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("product"), F.col("s_name").alias("name"), F.array(F.concat(F.lit("nation-"), F.col("s_nationkey") + F.col("s_suppkey") % 4 * 6)).alias("aliases"), F.lit("").alias("year"))
+    return unique_matches(targets, products)
+
+
+def q_plan_violations(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("graph"), (F.col("l_partkey") % 30).alias("title"), F.col("l_suppkey").alias("source"), F.when(F.col("l_returnflag") == "R", F.col("l_suppkey") % 30).alias("related"))
+    found = plan_violations(nodes, table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("source")))
+    return found.select("graph", F.array_join("violations", ",").alias("violations"))
+
+
+def q_claim_plan(spark: SparkSession, sf: str) -> DataFrame:
+    units = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("unit"), F.col("l_partkey").alias("product"))
+    versions = table(spark, sf, "part").where("p_size > 4").select(F.col("p_partkey").alias("product"), F.explode(F.array(F.col("p_size"), F.col("p_size") + F.col("p_partkey").cast("int") % 3)).alias("version"))
+    return claim_plan(units, versions)
+
+
+def _line_spans(spark: SparkSession, sf: str, before: int, length: int) -> DataFrame:
+    start = F.col("l_partkey") % 100 - before
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", start.alias("start"), (start + length).alias("end"))
+
+
+def q_pending_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return pending_after(_line_spans(spark, sf, 0, 10).where("l_returnflag <> 'R'"), _line_spans(spark, sf, 20, 60).where("l_returnflag = 'R'"), "l_orderkey").select("l_orderkey", "l_linenumber", "start")
+
+
+def q_batch_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    scanned = table(spark, sf, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("o_orderkey"))
+    return batch_verdicts(table(spark, sf, "orders").select("o_custkey", "o_orderkey"), scanned, "o_custkey", "o_orderkey")
+
+
+def q_segment_of(spark: SparkSession, sf: str) -> DataFrame:
+    spans = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("key"), (F.length("text") % 97).alias("place"))
+    texts = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("key"), F.translate("text", ".", "。").alias("text"))
+    return segment_of(spans, sentence_spans(texts, "key"), "key")
+
+
+def q_activation_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") != "error").alias("valid"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("activations"))
+
+
+def q_classification_overview(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    return docs.groupBy("source").agg(F.count_if(F.col("quality").isNull() & F.col("toxic").isNull()).alias("pending"), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 0)).alias("ambiguous"), F.count("*").alias("documents"))
+
+
 _BOXES = "b AS (SELECT DISTINCT l_orderkey, l_partkey * 10 + l_linenumber AS box, l_partkey % 90 AS x0, l_suppkey % 40 AS y0, l_partkey % 90 + CAST(trunc(l_quantity) AS BIGINT) AS x1, l_suppkey % 40 + 5 + l_suppkey % 11 AS y1 FROM lineitem)"
 
 QUERIES = {
@@ -306,6 +407,14 @@ QUERIES = {
     "source_ids": q_source_ids,
     "candidate_counts": q_candidate_counts,
     "sheet_lines": q_sheet_lines,
+    "unique_selection": q_unique_selection,
+    "plan_violations": q_plan_violations,
+    "claim_plan": q_claim_plan,
+    "pending_spans": q_pending_spans,
+    "batch_verdicts": q_batch_verdicts,
+    "segment_of": q_segment_of,
+    "activation_counts": q_activation_counts,
+    "classification_overview": q_classification_overview,
 }
 ORACLES = {
     "replacement_candidates": "WITH r AS (SELECT p_brand AS product, p_type AS version, replace(p_name, ' ', '') AS family, p_size AS sha FROM part) SELECT DISTINCT product, version, family, sha, (SELECT count(*) FROM r o WHERE o.product = r.product AND o.version = r.version AND o.family = r.family AND o.sha <> r.sha) AS replaces FROM r",
@@ -327,4 +436,12 @@ ORACLES = {
     "source_ids": "SELECT page_id, 'src-' || substr(sha256('file' || chr(0) || url || chr(0) || sha256(html)), 1, 20) AS source_id FROM pages",
     "candidate_counts": "SELECT lang, count(*) AS candidates, count(*) FILTER (r) AS relevant, count(*) FILTER (NOT r) AS excluded FROM (SELECT lang, coalesce(contains(lower(text), 'tion'), FALSE) OR source = 'web' AS r FROM documents) GROUP BY 1",
     "sheet_lines": "SELECT l_orderkey, string_agg('[' || CAST(l_orderkey AS VARCHAR) || '!' || CAST(l_linenumber AS VARCHAR) || '] ' || l_returnflag || CAST(l_partkey AS VARCHAR), chr(10) ORDER BY l_linenumber, l_partkey, l_returnflag) AS text FROM lineitem GROUP BY 1",
+    "unique_selection": "WITH m AS (SELECT c_custkey AS target, count(s_suppkey) AS n, min(s_suppkey) AS product FROM customer LEFT JOIN supplier ON s_nationkey + s_suppkey % 4 * 6 = c_nationkey GROUP BY 1) SELECT target, CASE WHEN n = 1 THEN 'one' WHEN n > 1 THEN 'many' ELSE 'none' END AS state, CASE WHEN n = 1 THEN product END AS product FROM m",
+    "plan_violations": "WITH n AS (SELECT l_orderkey AS graph, l_partkey % 30 AS title, l_suppkey AS source, CASE WHEN l_returnflag = 'R' THEN l_suppkey % 30 END AS related FROM lineitem), v AS (SELECT graph, array_to_string(list_filter([CASE WHEN bool_or(related IS NOT NULL AND NOT EXISTS (SELECT 1 FROM n o WHERE o.graph = n.graph AND o.title = n.related)) THEN 'related' END, CASE WHEN bool_or(related = title) THEN 'self' END, CASE WHEN count(*) NOT BETWEEN 3 AND 24 THEN 'size' END, CASE WHEN bool_or(source NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)) THEN 'source' END, CASE WHEN count(*) > count(DISTINCT title) THEN 'title' END], lambda x: x IS NOT NULL), ',') AS violations FROM n GROUP BY 1) SELECT * FROM v WHERE violations <> ''",
+    "claim_plan": "WITH v AS (SELECT DISTINCT p_partkey, unnest([p_size, CAST(p_size + p_partkey % 3 AS INTEGER)]) AS version FROM part WHERE p_size > 4) SELECT l_orderkey * 10 + l_linenumber AS unit, l_partkey AS product, version FROM lineitem LEFT JOIN v ON l_partkey = p_partkey",
+    "pending_spans": "SELECT l_orderkey, l_linenumber, l_partkey % 100 AS start FROM lineitem p WHERE l_returnflag <> 'R' AND NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_orderkey = p.l_orderkey AND r.l_returnflag = 'R' AND p.l_partkey % 100 BETWEEN r.l_partkey % 100 - 20 AND r.l_partkey % 100 + 30)",
+    "batch_verdicts": "SELECT o_custkey, count(*) AS reviews, count(*) FILTER (NOT known) AS unconsumed, count(*) FILTER (NOT known) = 0 AS accepted FROM (SELECT o_custkey, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40) AS known FROM orders) GROUP BY 1",
+    "segment_of": "WITH t AS (SELECT conv_id * 100 + turn AS key, coalesce(replace(text, '.', '。'), '') AS text, length(text) % 97 AS place FROM conversations), p AS (SELECT key, unnest(x) AS piece, generate_subscripts(x, 1) AS pos FROM (SELECT key, regexp_extract_all(text, '[^。！？!?；;\\n]+|[。！？!?；;\\n]+') AS x FROM t)), o AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM p), s AS (SELECT key, off, off + length(piece) AS stop FROM o WHERE NOT regexp_matches(piece, '^[。！？!?；;\\n]') AND trim(piece) <> '') SELECT t.key, CAST(place AS INTEGER) AS place, CAST(off AS BIGINT) AS start FROM t LEFT JOIN s ON t.key = s.key AND off <= place AND place < stop",
+    "activation_counts": "SELECT user_id, count(*) FILTER (event_type <> 'error') AS valid, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS activations FROM events GROUP BY 1",
+    "classification_overview": "SELECT source, count(*) FILTER (quality IS NULL AND toxic IS NULL) AS pending, count(*) FILTER (quality = 0 AND toxic = 0) AS ambiguous, count(*) AS documents FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1",
 }

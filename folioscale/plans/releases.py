@@ -93,5 +93,21 @@ def q_release_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, root, pin(spark, root), "documents").groupBy("lang").agg(F.count("*").alias("n"))
 
 
-QUERIES = {"release_round_trip": q_release_round_trip}
-ORACLES = {"release_round_trip": "SELECT lang, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY lang"}
+def q_release_round_trip_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Two releases of all documents; the second gets every row once more than its manifest says, so a reader gets the first."""
+    root = scratch_path(spark, "releases")
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    for number, name in enumerate(("r1", "r2"), 1):
+        write_release(spark, root, name, {"documents": docs, "labels": labels})
+        activate(spark, root, name, number)
+    docs.write.mode("append").parquet(f"{root}/releases/r2/documents")
+    if not violations(spark, root, pin(spark, root)).isEmpty():
+        activate(spark, root, last_valid(spark, root), 3)
+    return read(spark, root, pin(spark, root), "documents").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+QUERIES = {"release_round_trip": q_release_round_trip, "release_round_trip_whole": q_release_round_trip_whole}
+ORACLES = {
+    "release_round_trip": "SELECT lang, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY lang",
+    "release_round_trip_whole": "SELECT lang, count(*) AS n FROM documents GROUP BY lang",
+}
