@@ -27,6 +27,14 @@ PROPERTIES = {
 }
 QUOTE_TOPICS = {"loan": "贷款|借款|现金价值", "dividend": "红利|分红", "insured_age": "投保年龄|被保险人年龄|周岁"}
 PERSONAL = "我会|我通常|我的客户|我服务|本人(?:会|通常|曾|负责)|个人经历|服务流程"
+#: Words of a request that frame it, scopes that it rules out, and lengths of the runs of Han characters that are its terms.
+FRAMING = [
+    "个人知识库", "知识库", "同主题", "历史口播", "历史文章", "业务案例", "个人内容", "个人表达",
+    "产品资料", "业务资料", "个人资料", "完整历史文章", "完整作品", "我的", "结合", "参考", "使用",
+    "整理", "一篇", "一段", "一条", "这篇", "口播", "文章", "资料", "内容", "案例", "生成", "写作",
+]
+RULED_OUT = ["(?:与|和|跟)[^，。！？；;\\n]*无关", "(?:不涉及|不讨论|不包含|不要使用|不参考|不使用)[^，。！？；;\\n]*"]
+TERM_LEAST, TERM_MOST = 2, 8
 #: Headings of an excerpt, and the room for them and the end.
 HEADING, MOST_HEADINGS, END_ROOM, HEAD_LEAST = "^[一二三四五六七八九十0-9]+[、.．）)]", 24, 300, 800
 #: Marks around what a person added to a page.
@@ -120,6 +128,24 @@ def strongest_term(text: Column, terms: dict[str, int]) -> Column:
     return F.coalesce(*[F.when(low.contains(t), F.struct(F.lit(t).alias("term"), (F.instr(low, t) - 1).alias("start"))) for t in ranked])
 
 
+def question_terms(question: Column) -> Column:
+    """Sorted distinct terms of a request: words of three letters or more and runs of Han characters, without what frames it or is ruled out."""
+    value = F.lower(F.coalesce(question, F.lit("")))
+    for pattern in RULED_OUT:
+        value = F.regexp_replace(value, pattern, " ")
+    for word in sorted(FRAMING, key=len, reverse=True):
+        value = F.replace(value, F.lit(word), F.lit(" "))
+    spans = F.regexp_extract_all(value, F.lit("[㐀-鿿]+|[a-z][a-z0-9_-]+"), F.lit(0))
+
+    def runs(span: Column) -> Column:
+        sizes = F.sequence(F.lit(TERM_LEAST), F.least(F.lit(TERM_MOST), F.length(span)))
+        return F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(span) - n + 1), lambda i: F.substring(span, i, n))))
+
+    none = F.array().cast("array<string>")
+    terms = F.transform(spans, lambda x: F.when(x.rlike("^[a-z]"), F.when(F.length(x) > 2, F.array(x)).otherwise(none)).when(F.length(x) >= TERM_LEAST, runs(x)).otherwise(none))
+    return F.array_sort(F.array_distinct(F.flatten(terms)))
+
+
 def own_notes(page: Column) -> Column:
     """What a person wrote between the marks of a page, empty without both in order."""
     start, end = F.instr(page, NOTES_START), F.instr(page, NOTES_END)
@@ -188,6 +214,13 @@ def q_strongest_term(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", strongest_term(F.col("text"), _TERMS).alias("m")).select("doc_id", F.col("m.term").alias("term"), F.col("m.start").alias("start"))
 
 
+_REQUESTS = ["结合我的知识库写作一篇保单贷款口播", "参考资料 about cash-value in PDF，不涉及红利，谈犹豫期", "与分红无关的年金领取", "文章", "Loan terms ok to 贷"]
+
+
+def q_question_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").groupBy(F.array_join(question_terms(_said("o_custkey", _REQUESTS)), ",").alias("terms")).agg(F.count("*").alias("n"))
+
+
 def q_own_notes(spark: SparkSession, sf: str) -> DataFrame:
     page = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("# page\n" + NOTES_START + "\n"), "text", F.lit("\n" + NOTES_END + "\n"))).when(F.col("turn") % 3 == 1, F.concat(F.lit(NOTES_END), "text", F.lit(NOTES_START))).otherwise(F.col("text"))
     return table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(own_notes(page), 256).alias("notes_sha"))
@@ -211,6 +244,12 @@ _FAMILY_SQL = "regexp_replace(regexp_replace(lower(t), '[^\\p{L}\\p{N}]', '', 'g
 for _marker in FAMILY_MARKERS:
     _FAMILY_SQL = f"replace({_FAMILY_SQL}, '{_marker}', '')"
 
+_REQUEST_SQL = "lower(q)"
+for _pattern in RULED_OUT:
+    _REQUEST_SQL = f"regexp_replace({_REQUEST_SQL}, '{_pattern}', ' ', 'g')"
+for _word in sorted(FRAMING, key=len, reverse=True):
+    _REQUEST_SQL = f"replace({_REQUEST_SQL}, '{_word}', ' ')"
+
 QUERIES = {
     "percent_text": q_percent_text,
     "kept_for_question": q_kept_for_question,
@@ -221,6 +260,7 @@ QUERIES = {
     "bounded_excerpt": q_bounded_excerpt,
     "strongest_term": q_strongest_term,
     "own_notes": q_own_notes,
+    "question_terms": q_question_terms,
     "path_validity": q_path_validity,
 }
 ORACLES = {
@@ -233,5 +273,6 @@ ORACLES = {
     "bounded_excerpt": f"WITH t AS (SELECT doc_id, '# 一' || chr(10) || '2、second' || chr(10) || coalesce(text, '') AS t FROM documents), h AS (SELECT *, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x LIKE '#%' OR (length(x) BETWEEN 2 AND 70 AND regexp_matches(x, '{HEADING}')))[1:24], chr(10)) AS h FROM t), b AS (SELECT *, greatest(800, 1500 - least(length(h) + 80, 500) - 300) AS head FROM h), c AS (SELECT *, least(300, greatest(0, 1500 - head - length(h) - 80)) AS tail FROM b) SELECT doc_id, length(t) > 1500 AS truncated, sha256(CASE WHEN length(t) <= 1500 THEN t ELSE substr(regexp_replace(substr(t, 1, head), '\\s+$', '') || CASE WHEN h <> '' THEN chr(10) || chr(10) || '[文内标题]' || chr(10) || h ELSE '' END || CASE WHEN tail > 0 THEN chr(10) || chr(10) || '[文末片段]' || chr(10) || regexp_replace(right(t, tail), '^\\s+', '') ELSE '' END, 1, 1500) END) AS excerpt_sha FROM c",
     "strongest_term": "WITH m AS (SELECT doc_id, lower(text) AS low, unnest(['tion', 'und', 'the', 'tre', 'an']) AS term, unnest([1, 2, 3, 4, 5]) AS place FROM documents), f AS (SELECT doc_id, arg_min(term, place) AS term, arg_min(instr(low, term) - 1, place) AS start FROM m WHERE contains(low, term) GROUP BY 1) SELECT doc_id, term, CAST(start AS INTEGER) AS start FROM documents LEFT JOIN f USING (doc_id)",
     "own_notes": "SELECT conv_id, turn, sha256(CASE WHEN turn % 3 = 0 THEN regexp_replace(text, '^\\n+|\\n+$', '', 'g') ELSE '' END) AS notes_sha FROM conversations",
+    "question_terms": f"WITH q AS (SELECT {_REQUESTS}[o_custkey % 5 + 1] AS q, count(*) AS n FROM orders GROUP BY 1), x AS (SELECT q, n, unnest(regexp_extract_all({_REQUEST_SQL}, '[㐀-鿿]+|[a-z][a-z0-9_-]+')) AS x FROM q), r AS (SELECT q, CASE WHEN x[1] BETWEEN 'a' AND 'z' THEN CASE WHEN length(x) > 2 THEN [x] ELSE [] END ELSE flatten(list_transform(range(2, least(8, length(x)) + 1), lambda k: list_transform(range(1, length(x) - k + 2), lambda i: substr(x, i, k)))) END AS t FROM x), d AS (SELECT q, array_to_string(list_sort(list_distinct(flatten(list(t)))), ',') AS terms FROM r GROUP BY 1) SELECT coalesce(terms, '') AS terms, CAST(sum(n) AS BIGINT) AS n FROM q LEFT JOIN d USING (q) GROUP BY 1",
     "path_validity": "WITH p AS (SELECT page_id, ['', '/', 'a/../', './', 'a/.b/', 'a//', 'c:'][page_id % 7 + 1] || regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages) SELECT page_id, path, path <> '' AND NOT contains(path, '\\') AND NOT contains(path, ':') AND NOT starts_with(path, '/') AND NOT regexp_matches(path, '(^|/)\\.') AND NOT contains(path, '//') AND NOT ends_with(path, '/') AS valid FROM p",
 }
