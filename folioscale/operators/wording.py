@@ -35,6 +35,12 @@ FRAMING = [
 ]
 RULED_OUT = ["(?:与|和|跟)[^，。！？；;\\n]*无关", "(?:不涉及|不讨论|不包含|不要使用|不参考|不使用)[^，。！？；;\\n]*"]
 TERM_LEAST, TERM_MOST = 2, 8
+#: Where a product's name ends in a title, what is no part of it, and where a text or a title names a version.
+NAME_ENDS = "(?:正式)?保险条款|条款摘要|条款|产品说明书|产品说明|利益演示|培训问答\\d*|保单贷款问答\\d*|问答\\d*|测试材料"
+NO_NAME = ["\\b[vV]\\s*\\d+(?:\\.\\d+)*\\b", "[（(](?:教学模拟|模拟|测试)[^）)]*[）)]?"]
+YEAR = "(?:19|20)\\d{2}"
+TEXT_VERSION, TITLE_VERSION = "(?:文档版本|版本|条款编号|备案编号)\\s*[：:]?\\s*([A-Za-z0-9_.-]{1,30})", "(?:^|[_-])[vV](\\d+(?:\\.\\d+)*)"
+UNMARKED = "未标明"
 #: Headings of an excerpt, and the room for them and the end.
 HEADING, MOST_HEADINGS, END_ROOM, HEAD_LEAST = "^[一二三四五六七八九十0-9]+[、.．）)]", 24, 300, 800
 #: Marks around what a person added to a page.
@@ -146,6 +152,19 @@ def question_terms(question: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(terms)))
 
 
+def product_metadata(title: Column, text: Column) -> Column:
+    """struct<name, year, version, applies>: what a title and the whole text say of a product; a version is the text's own, else the title's."""
+    name = F.element_at(F.split(title, NAME_ENDS, 2), 1)
+    for pattern in NO_NAME:
+        name = F.regexp_replace(name, pattern, "")
+    name = F.regexp_replace(F.regexp_replace(name, "[_-]+", " "), r"^[ （()）-]+|[ （()）-]+$", "")
+    name = F.when(name == "", title).otherwise(name)
+    year = F.regexp_extract(F.concat(name, F.lit(" "), title), YEAR, 0)
+    said, titled = F.regexp_extract(F.coalesce(text, F.lit("")), TEXT_VERSION, 1), F.regexp_extract(title, TITLE_VERSION, 1)
+    version = F.when(said != "", said).when(titled != "", F.concat(F.lit("v"), titled)).otherwise(UNMARKED)
+    return F.struct(name.alias("name"), year.alias("year"), version.alias("version"), F.when(year == "", UNMARKED).otherwise(year).alias("applies"))
+
+
 def own_notes(page: Column) -> Column:
     """What a person wrote between the marks of a page, empty without both in order."""
     start, end = F.instr(page, NOTES_START), F.instr(page, NOTES_END)
@@ -221,6 +240,15 @@ def q_question_terms(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").groupBy(F.array_join(question_terms(_said("o_custkey", _REQUESTS)), ",").alias("terms")).agg(F.count("*").alias("n"))
 
 
+_TITLES = ["金生2024保险条款", "red_plan v2.1（模拟件）", "条款摘要", "年金-V3 产品说明书2023", "ring"]
+
+
+def q_product_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\n文档版本：A-"), F.col("doc_id").cast("string"))).otherwise(""))
+    docs = table(spark, sf, "documents").select("doc_id", product_metadata(F.concat(_said("doc_id", _TITLES), F.when(F.col("doc_id") % 2 == 0, "_v7").otherwise("")), text).alias("m"))
+    return docs.select("doc_id", "m.*")
+
+
 def q_own_notes(spark: SparkSession, sf: str) -> DataFrame:
     page = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("# page\n" + NOTES_START + "\n"), "text", F.lit("\n" + NOTES_END + "\n"))).when(F.col("turn") % 3 == 1, F.concat(F.lit(NOTES_END), "text", F.lit(NOTES_START))).otherwise(F.col("text"))
     return table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(own_notes(page), 256).alias("notes_sha"))
@@ -260,6 +288,7 @@ QUERIES = {
     "bounded_excerpt": q_bounded_excerpt,
     "strongest_term": q_strongest_term,
     "own_notes": q_own_notes,
+    "product_metadata": q_product_metadata,
     "question_terms": q_question_terms,
     "path_validity": q_path_validity,
 }
@@ -274,5 +303,6 @@ ORACLES = {
     "strongest_term": "WITH m AS (SELECT doc_id, lower(text) AS low, unnest(['tion', 'und', 'the', 'tre', 'an']) AS term, unnest([1, 2, 3, 4, 5]) AS place FROM documents), f AS (SELECT doc_id, arg_min(term, place) AS term, arg_min(instr(low, term) - 1, place) AS start FROM m WHERE contains(low, term) GROUP BY 1) SELECT doc_id, term, CAST(start AS INTEGER) AS start FROM documents LEFT JOIN f USING (doc_id)",
     "own_notes": "SELECT conv_id, turn, sha256(CASE WHEN turn % 3 = 0 THEN regexp_replace(text, '^\\n+|\\n+$', '', 'g') ELSE '' END) AS notes_sha FROM conversations",
     "question_terms": f"WITH q AS (SELECT {_REQUESTS}[o_custkey % 5 + 1] AS q, count(*) AS n FROM orders GROUP BY 1), x AS (SELECT q, n, unnest(regexp_extract_all({_REQUEST_SQL}, '[㐀-鿿]+|[a-z][a-z0-9_-]+')) AS x FROM q), r AS (SELECT q, CASE WHEN x[1] BETWEEN 'a' AND 'z' THEN CASE WHEN length(x) > 2 THEN [x] ELSE [] END ELSE flatten(list_transform(range(2, least(8, length(x)) + 1), lambda k: list_transform(range(1, length(x) - k + 2), lambda i: substr(x, i, k)))) END AS t FROM x), d AS (SELECT q, array_to_string(list_sort(list_distinct(flatten(list(t)))), ',') AS terms FROM r GROUP BY 1) SELECT coalesce(terms, '') AS terms, CAST(sum(n) AS BIGINT) AS n FROM q LEFT JOIN d USING (q) GROUP BY 1",
+    "product_metadata": f"WITH t AS (SELECT doc_id, {_TITLES}[doc_id % 5 + 1] || CASE WHEN doc_id % 2 = 0 THEN '_v7' ELSE '' END AS t, coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '文档版本：A-' || CAST(doc_id AS VARCHAR) ELSE '' END AS body FROM documents), a AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_split_to_array(t, '{NAME_ENDS}')[1], '{NO_NAME[0]}', '', 'g'), '{NO_NAME[1]}', '', 'g'), '[_-]+', ' ', 'g'), '^[ （()）-]+|[ （()）-]+$', '', 'g') AS raw FROM t), b AS (SELECT *, CASE WHEN raw = '' THEN t ELSE raw END AS name FROM a), c AS (SELECT *, regexp_extract(name || ' ' || t, '{YEAR}') AS year, regexp_extract(body, '{TEXT_VERSION}', 1) AS said, regexp_extract(t, '{TITLE_VERSION}', 1) AS titled FROM b) SELECT doc_id, name, year, CASE WHEN said <> '' THEN said WHEN titled <> '' THEN 'v' || titled ELSE '{UNMARKED}' END AS version, CASE WHEN year = '' THEN '{UNMARKED}' ELSE year END AS applies FROM c",
     "path_validity": "WITH p AS (SELECT page_id, ['', '/', 'a/../', './', 'a/.b/', 'a//', 'c:'][page_id % 7 + 1] || regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages) SELECT page_id, path, path <> '' AND NOT contains(path, '\\') AND NOT contains(path, ':') AND NOT starts_with(path, '/') AND NOT regexp_matches(path, '(^|/)\\.') AND NOT contains(path, '//') AND NOT ends_with(path, '/') AS valid FROM p",
 }
