@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscale.llm import embeddings, language_model, licenses, mixing, packing, quality, sharding, simhash, token_files, toxicity
+from folioscale.llm import alignment, embeddings, importance, language_model, licenses, mixing, packing, quality, sharding, simhash, substrings, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extendible_shards": sharding.op1_extendible_shards,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_groups": simhash.op8_simhash_groups,
     "op9_sum_of_squares": packing.op9_sum_of_squares,
     "op10_token_binary": token_files.op10_token_binary,
+    "op11_fm_substrings": substrings.op11_fm_substrings,
+    "op12_importance_resampling": importance.op12_importance_resampling,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 ORACLES: dict[str, str] = {
     "op1_extendible_shards": sharding.OP1_SQL,
