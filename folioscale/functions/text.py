@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 WINDOW, STRIDE = 1800, 1560
 #: Runs of Han characters, or runs of other letters and digits.
@@ -34,28 +38,62 @@ def fixed_windows(docs: DataFrame, text: str = "text", size: int = WINDOW, strid
     return docs.withColumn("start", F.explode(starts)).withColumn("window", body.substr(F.col("start") + 1, F.lit(size)))
 
 
+#: Numbers that carry a unit, and the first and last character of the Han block that names may hold.
+NUMBERS = r"\p{Nd}+(?:\.\p{Nd}+)?\s*%|\p{Nd}+\s*个?月|\p{Nd}+\s*周岁"
+HAN_FIRST, HAN_LAST = "\u3400", "\u9fff"
+
+
 def number_tokens(text: Column) -> Column:
-    """Distinct percentages without white space, sorted."""
-    found = F.regexp_extract_all(text, F.lit(r"[0-9]+(?:\.[0-9]+)?\s*%"), F.lit(0))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"\s", ""))))
+    """Distinct percentages, months and ages without white space, sorted."""
+    found = F.regexp_extract_all(text, F.lit("(?U)" + NUMBERS), F.lit(0))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"(?U)\s+", ""))))
+
+
+def _per_text(function):
+    """A string function over Arrow batches, called once for each distinct text of a batch."""
+
+    @arrow_udf("string")
+    def apply(column: pa.Array) -> pa.Array:
+        coded = column.dictionary_encode()
+        own = pa.array([None if x is None else function(x) for x in coded.dictionary.to_pylist()], pa.string())
+        return own.take(coded.indices)
+
+    return apply
 
 
-def slug(text: Column, most: int = 48) -> Column:
-    """A name for a file: runs of other characters become one hyphen."""
-    joined = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", "-")
-    return F.regexp_replace(joined.substr(F.lit(1), F.lit(most)), "^-+|-+$", "")
+def _compatible(text: str) -> str:
+    return text if text.isascii() else unicodedata.normalize("NFKC", text)
+
+
+def _folded(text: str) -> str:
+    return "".join(c for c in _compatible(text).casefold() if c.isalnum() or HAN_FIRST <= c <= HAN_LAST)
+
+
+def compatible(text: Column) -> Column:
+    """Compatibility forms become the characters they stand for: full-width letters, ligatures, circled digits."""
+    return _per_text(_compatible)(text)
 
 
 def normal(text: Column) -> Column:
-    """Letters and digits only, lower case: two spellings of one name compare equal."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
+    """The normal form of a name: compatibility forms and case folded in full, then letters, digits and Han only."""
+    return _per_text(_folded)(text)
+
+
+def slug(text: Column, most: int = 48, unnamed: str = "knowledge-base") -> Column:
+    """A name for a folder: compatibility forms resolved, runs of other characters one hyphen, no mark at either end."""
+    trimmed = F.regexp_replace(compatible(text), r"^[\p{Z}\t-\r\x1c-\x1f\x85]+|[\p{Z}\t-\r\x1c-\x1f\x85]+$", "")
+    joined = F.regexp_replace(trimmed, r"[^\p{L}\p{N}_\u3400-\u9fff-]+", "-")
+    cut = F.regexp_replace(joined, "^[-_]+|[-_]+$", "").substr(F.lit(1), F.lit(most))
+    return F.when(cut == "", F.lit(unnamed)).otherwise(cut)
 
 
-def negated_before(text: Column, marker: str, negation: str, reach: int = 12) -> Column:
-    """Whether a marker occurs without a negation in the reach of characters before it."""
-    return F.rlike(text, F.lit(f"(?i)(?<!(?:{negation}).{{0,{reach}}})(?:{marker})"))
+#: A wish for earlier versions, what rules it out, and how many characters before it are looked at.
+HISTORY = "历史(?:版本|资料)?|旧版|上一版|更新前|新旧(?:对比|变化)|版本对比"
+NO_HISTORY = "不要(?:使用|查询)?|不(?:要|使用|查)|排除|仅(?:用|查|看)?当前|只(?:用|查|看)?当前"
+HISTORY_REACH = 12
 
 
 def has_history_intent(text: Column) -> Column:
-    """A question asks for earlier versions, unless the wish is negated just before."""
-    return negated_before(text, "旧版|历史版本|以前的版本|previous version|old version", "不要|不用|不看|别|not|without")
+    """A question asks for earlier versions: its first such word decides, unless what stands just before rules it out."""
+    before = F.right(F.regexp_extract(text, f"(?s)^(.*?)(?:{HISTORY})", 1), F.lit(HISTORY_REACH))
+    return F.coalesce(F.rlike(text, F.lit(HISTORY)) & ~F.rlike(before, F.lit(NO_HISTORY)), F.lit(False))

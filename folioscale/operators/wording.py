@@ -44,7 +44,7 @@ UNMARKED = "未标明"
 #: Headings of an excerpt, and the room for them and the end.
 HEADING, MOST_HEADINGS, END_ROOM, HEAD_LEAST = "^[一二三四五六七八九十0-9]+[、.．）)]", 24, 300, 800
 #: Marks around what a person added to a page.
-NOTES_START, NOTES_END = "<!-- USER-NOTES-START -->", "<!-- USER-NOTES-END -->"
+NOTES_START, NOTES_END = "<!-- llm-wiki:user-notes:start -->", "<!-- llm-wiki:user-notes:end -->"
 
 
 def _digit(text: Column, other: int) -> Column:
