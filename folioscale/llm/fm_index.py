@@ -15,6 +15,7 @@ PASSES = 4
 DEPTH = 3**PASSES
 #: Numbers that three of fit into 63 bits.
 MOST = 1 << 21
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 def _rank_of(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -77,7 +78,7 @@ class WaveletTree:
         room = np.int64(1) << (depth - size[order])
         code = np.zeros(n_words, np.int64)
         code[order] = np.cumsum(room) - room
-        self.size, self.code, self.depth, self.n = size, code, depth, n
+        self.size, self.code, self.depth, self.n = size.astype(np.int8), code.astype(np.int32), depth, n
         bits, offset, base, child = [], [], [], []
         own, nodes, at = sequence, 1, 0
         node = np.zeros(n, np.int64)
@@ -100,13 +101,15 @@ class WaveletTree:
             own, key = own[follows], (2 * node + bit)[follows]
             goes_on = size[own] > level + 1
             own, key = own[goes_on], key[goes_on]
-            live, node = np.unique(key, return_inverse=True)
+            there = np.zeros(2 * nodes, bool)
+            there[key] = True
+            live, node = np.flatnonzero(there), (np.cumsum(there) - 1)[key]
             kids = np.full(2 * nodes, -1, np.int64)
             kids[live] = first + nodes + np.arange(len(live))
             child.append(kids.reshape(nodes, 2))
             first += nodes
             nodes = len(live)
-        self.offset, self.child = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (offset, child))
+        self.offset, self.child = (np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32) for x in (offset, child))
         packed = np.packbits(np.concatenate([*bits, np.zeros(64 + -at % 64, bool)]), bitorder="little")
         self.words = packed.view("<u8")
         self.upto = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1]]).astype(np.int32)
@@ -114,26 +117,38 @@ class WaveletTree:
 
     def _ones(self, place: np.ndarray) -> np.ndarray:
         own = place >> 6
-        mask = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
+        mask = _BELOW[place & 63]
         return self.upto[own] + np.bitwise_count(self.words[own] & mask)
 
-    def rank(self, word: np.ndarray, place: np.ndarray) -> np.ndarray:
-        place, node = place.astype(np.int64), np.zeros(len(word), np.int64)
-        code, size = self.code[word], self.size[word]
-        out = np.where(size > 0, place, 0)
-        left = np.flatnonzero(size > 0)
+    def ranks(self, word: np.ndarray, *places: np.ndarray) -> list[np.ndarray]:
+        """How often each word stands before its place, for one or more places of each; words go down the tree together."""
+        size = self.size[word]
+        order = np.argsort(-size, kind="stable")
+        size, code = size[order], self.code[word[order]]
+        now = [x[order].astype(np.int32) for x in places]
+        live = np.searchsorted(-size, -np.arange(self.depth + 1), "left").tolist()  # with a code longer than so many bits
+        for x in now:
+            x[live[0] :] = 0
+        node = np.zeros(live[0], np.int32)
         for level in range(self.depth):
-            if not len(left):
+            k = live[level]
+            if not k:
                 break
-            own = node[left]
-            ones = self._ones(self.offset[own] + out[left]) - self.base[own]
-            bit = (code[left] >> (self.depth - 1 - level)) & 1
-            out[left] = np.where(bit == 1, ones, out[left] - ones)
-            goes_on = size[left] > level + 1
-            left, own, bit = left[goes_on], own[goes_on], bit[goes_on]
-            node[left] = self.child[own, bit]
+            start, before = self.offset[node], self.base[node]
+            bit = (code[:k] >> (self.depth - 1 - level)) & 1
+            one = bit == 1
+            for x in now:
+                ones = self._ones(start + x[:k]) - before
+                x[:k] = np.where(one, ones, x[:k] - ones)
+            node = self.child[node[: live[level + 1]], bit[: live[level + 1]]]
+        out = [np.empty(len(word), np.int64) for _ in now]
+        for x, to in zip(now, out, strict=True):
+            to[order] = x
         return out
 
+    def rank(self, word: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return self.ranks(word, place)[0]
+
 
 class FmIndex:
     """Index of sequences of words, given in a row with a 0 behind each; weights: occurrences that each stands for."""
@@ -156,8 +171,9 @@ class FmIndex:
 
     def extend(self, word: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of suffixes that start with a word before what each interval [low, high) has in common."""
-        both = self.tree.rank(np.concatenate([word, word]), np.concatenate([low, high])) + self.first[np.concatenate([word, word])]
-        return both[: len(word)], both[len(word) :]
+        low, high = self.tree.ranks(word, low, high)
+        first = self.first[word]
+        return low + first, high + first
 
     def parent(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The next wider intervals, and how many words all of their suffixes share."""
@@ -168,19 +184,21 @@ class FmIndex:
         root = depth == 0
         return np.where(root, 0, wider_low), np.where(root, self.n, wider_high), depth
 
-    def matching_statistics(self, words: np.ndarray, stops: np.ndarray, least: int = 2) -> np.ndarray:
+    def matching_statistics(self, words: np.ndarray, stops: np.ndarray, least: int = 2, asked: int = 0) -> np.ndarray:
         """For each place of sequences (stops: where each ends) the longest run from there on that occurs `least` times.
 
+        asked: a sequence is left as soon as no run of so many words can follow in it; its other places stay 0.
+
         Sequences are read backward, one word of each a step: the interval of the longest run so far is extended by the
         word before it, and gives up words at its far end as long as fewer than `least` occurrences are left.
         """
         starts = np.concatenate([[0], stops[:-1]])
         out = np.zeros(len(words), np.int64)
         low, high, run = np.zeros(len(stops), np.int64), np.full(len(stops), self.n), np.zeros(len(stops), np.int64)
-        lanes = np.argsort(starts - stops, kind="stable")
-        sizes = (stops - starts)[lanes]
+        own, sizes = np.arange(len(stops)), stops - starts
         for step in range(int(sizes.max()) if len(sizes) else 0):
-            own = lanes[: np.searchsorted(-sizes, -step, "left")]
+            # Those with a word left, and whose run can still grow long enough.
+            own = own[(sizes[own] > step) & (run[own] + sizes[own] - step >= asked)]
             at = stops[own] - 1 - step
             left = np.arange(len(own))
             while len(left):

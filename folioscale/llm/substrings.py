@@ -51,6 +51,9 @@ class Words:
         self.starts, self.stops = edges[::2], edges[1::2]
         ends = np.cumsum([len(x) + 1 for x in texts], dtype=np.int64)
         self.first = np.concatenate([[0], np.searchsorted(self.starts, ends)])
+        # Gaps so far that are not one space.
+        odd = (self.starts[1:] - self.stops[:-1] != 1) | (self.data[self.stops[:-1]] != 0x20)
+        self.odd = np.concatenate([[0], np.cumsum(odd)])
 
     def hashes(self) -> np.ndarray:
         sizes = self.stops - self.starts
@@ -62,8 +65,8 @@ class Words:
 
     def run(self, low: int, high: int) -> bytes:
         """Words low to high, one space apart."""
-        own = self.data[self.starts[low] : self.stops[high - 1]]
-        return b" ".join(own.tobytes().split())
+        own = self.data[self.starts[low] : self.stops[high - 1]].tobytes()
+        return own if self.odd[low] == self.odd[high - 1] else b" ".join(own.split())
 
 
 def stretches(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,7 +194,7 @@ def repeated_windows(rows: DataFrame, window: int, shard_words: int = SHARD_WORD
             stops = split.offsets.to_numpy()[1:].astype(np.int64) - split.offsets[0].as_py()
             words = coded.indices.to_numpy().astype(np.int64) + 1
             index = FmIndex(np.insert(words, stops, 0), table["n"].to_numpy(), len(coded.dictionary) + 1)
-            reached = index.matching_statistics(words, stops) >= window
+            reached = index.matching_statistics(words, stops, 2, window) >= window
             starts = np.concatenate([[0], stops[:-1]])
             bits = np.zeros(len(stops), np.int64)
             for k in range(int((stops - starts).max()) - window + 1):
@@ -279,14 +282,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 rows = read_chunk(f"{path}/{row['chunk']}")
                 bits = {x["id"]: x["bits"] for x in row["hits"] or []}
                 words, _, first, size = _found(rows, np.array([x["anchor"] for x in row["hits"] or []], np.int64), window, anchor)
+                own = np.fromiter((bits.get(xxhash.xxh3_128_digest(words.run(low, high)), 0) for low, high in zip(first.tolist(), (first + size + window - 1).tolist(), strict=True)), np.int64, len(first))
                 change = np.zeros(len(words.starts) + 1, np.int64)
-                for low, n in zip(first.tolist(), size.tolist(), strict=True):
-                    own = bits.get(xxhash.xxh3_128_digest(words.run(low, low + n + window - 1)), 0)
-                    while own:
-                        at = low + (own & -own).bit_length() - 1
-                        change[at] += 1
-                        change[at + window] -= 1
-                        own &= own - 1
+                for k in range(window - anchor + 1):  # each window is in one stretch
+                    at = first[(own >> k) & 1 == 1] + k
+                    change[at] += 1
+                    change[at + window] -= 1
                 gone = np.cumsum(change)[:-1] > 0
                 yield from _kept(rows["doc_id"].combine_chunks(), words, gone)
 
