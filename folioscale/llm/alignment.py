@@ -112,8 +112,11 @@ class Segments:
                     self._learn([[x] for x in run])
                 else:
                     self._add(run, [""], np.zeros((1, 5), np.int64), np.zeros(0, np.int64))
-        for run, a, b in kept:
-            self._add(run, *self._align(run, a, b))
+            if kept:  # what comes back is aligned together: tokens of both sides end where a run ends
+                runs_kept, a, b = zip(*kept, strict=True)
+                together = [x for run in runs_kept for x in run]
+                self._add(together, *self._align(together, np.concatenate(a), np.concatenate(b)))
+                kept = []
 
     def _align(self, run: list[str], a: np.ndarray, b: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         ends = np.cumsum([len(x.encode()) for x in run])
