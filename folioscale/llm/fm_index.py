@@ -26,7 +26,7 @@ def _rank_of(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def sort_suffixes(words: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffixes by their first DEPTH words, and the ranks of all runs of 1, 3, 9, ... words on the way."""
+    """Suffixes by their first DEPTH words, and the ranks of all runs of 1, 3, 9, ... words on the way, but for the last."""
     ranks, step = [words.astype(np.int64)], 1
     for _ in range(PASSES):
         own = np.concatenate([ranks[-1], np.zeros(2 * step, np.int64)])
@@ -34,22 +34,23 @@ def sort_suffixes(words: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         keys = (own[:n] << 42) | (own[step : n + step] << 21) | own[2 * step : n + 2 * step]
         order = np.argsort(keys)
         step *= 3
-        ranks.append(_rank_of(keys, order))
+        if step < DEPTH:
+            ranks.append(_rank_of(keys, order))
     return order, ranks
 
 
 def common_prefixes(order: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
-    """Words that each suffix of the order shares with the one before it, up to DEPTH; 0 for the first."""
+    """Words that each suffix of the order shares with the one before it, up to DEPTH - 1; 0 for the first."""
     n = len(order)
     shared = np.zeros(n, np.int64)
     one, other = order[1:], order[:-1]
     for level in range(len(ranks) - 1, -1, -1):
         own, size = np.concatenate([ranks[level], [-1]]), 3**level
-        for _ in range(1 if level == len(ranks) - 1 else 2):
+        for _ in range(2):
             a, b = np.minimum(one + shared[1:], n), np.minimum(other + shared[1:], n)
             same = (own[a] == own[b]) & (a < n) & (b < n)
             shared[1:] += size * same
-    return np.minimum(shared, DEPTH)
+    return shared
 
 
 def smaller_before(values: np.ndarray) -> np.ndarray:
@@ -169,11 +170,20 @@ class FmIndex:
         self.first = np.cumsum(often) - often
         self.tree = WaveletTree(words[order - 1], n_words)
 
-    def extend(self, word: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of suffixes that start with a word before what each interval [low, high) has in common."""
-        low, high = self.tree.ranks(word, low, high)
-        first = self.first[word]
-        return low + first, high + first
+    def extend(self, word: np.ndarray, low: np.ndarray, high: np.ndarray, indexed: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of suffixes that start with a word before what each interval [low, high) has in common.
+
+        indexed: the words come from sequences of the index, so an interval of one suffix is the sequence's own, and its
+        extension is one suffix too.
+        """
+        first, wide = self.first[word], np.flatnonzero(high - low != 1)
+        if not indexed or 2 * len(wide) > len(word):
+            low, high = self.tree.ranks(word, low, high)
+            return low + first, high + first
+        low = self.tree.rank(word, low) + first
+        out = low + 1
+        out[wide] = self.tree.rank(word[wide], high[wide]) + first[wide]
+        return low, out
 
     def parent(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The next wider intervals, and how many words all of their suffixes share."""
@@ -184,10 +194,11 @@ class FmIndex:
         root = depth == 0
         return np.where(root, 0, wider_low), np.where(root, self.n, wider_high), depth
 
-    def matching_statistics(self, words: np.ndarray, stops: np.ndarray, least: int = 2, asked: int = 0) -> np.ndarray:
+    def matching_statistics(self, words: np.ndarray, stops: np.ndarray, least: int = 2, asked: int = 0, indexed: bool = False) -> np.ndarray:
         """For each place of sequences (stops: where each ends) the longest run from there on that occurs `least` times.
 
         asked: a sequence is left as soon as no run of so many words can follow in it; its other places stay 0.
+        indexed: all sequences are sequences of the index.
 
         Sequences are read backward, one word of each a step: the interval of the longest run so far is extended by the
         word before it, and gives up words at its far end as long as fewer than `least` occurrences are left.
@@ -203,7 +214,7 @@ class FmIndex:
             left = np.arange(len(own))
             while len(left):
                 who = own[left]
-                new_low, new_high = self.extend(words[at[left]], low[who], high[who])
+                new_low, new_high = self.extend(words[at[left]], low[who], high[who], indexed)
                 enough = (self.weight[new_high] - self.weight[new_low] >= least) & (new_high > new_low)
                 good = who[enough]
                 low[good], high[good] = new_low[enough], new_high[enough]

@@ -35,6 +35,8 @@ from folioscale.llm.interning import lanes_of, xxh64
 WINDOW, ANCHOR = 35, 8
 #: Bytes of texts in a chunk file, at least; words of a shard's index, at least; stretches of one anchor, at most.
 CHUNK_BYTES, SHARD_WORDS, HOT_STRETCHES = 8 << 20, 250_000, 8_000
+#: Numbers of a stretch as they are kept beside a chunk's texts: its anchor, first word and windows.
+STORED = ["<u8", "<u4", "<u2"]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]  # fixed values of a public 64-bit mixer
@@ -111,7 +113,9 @@ def write_chunks(docs: DataFrame, path: str, window: int, anchor: int, chunk_byt
                 out.write_table(rows)
             name = f"{uuid.uuid4().hex}.arrow"
             common.write_file(f"{path}/{name}", sink.getvalue())
-            anchors, n = np.unique(stretches(Words(rows["text"].combine_chunks()), window, anchor)[0], return_counts=True)
+            found = stretches(Words(rows["text"].combine_chunks()), window, anchor)
+            common.write_file(f"{path}/{name}.stretches", b"".join(x.astype(kind).tobytes() for x, kind in zip(found, STORED, strict=True)))
+            anchors, n = np.unique(found[0], return_counts=True)
             return pa.RecordBatch.from_pydict({"chunk": [name], "anchors": [anchors.astype("<u8").tobytes()], "numbers": [n.astype("<i8").tobytes()]})
 
         for batch in batches:
@@ -128,10 +132,18 @@ def write_chunks(docs: DataFrame, path: str, window: int, anchor: int, chunk_byt
     return common.map_arrow(rows, run, "chunk string, anchors binary, numbers binary")
 
 
-def read_chunk(uri: str) -> pa.Table:
+def read_chunk(uri: str) -> tuple[pa.Table, list[np.ndarray]]:
+    """doc_id and text of a chunk, and its stretches."""
     files, path = common.store(uri)
     with files.open_input_file(path) as source:
-        return pa.ipc.open_file(source).read_all()
+        rows = pa.ipc.open_file(source).read_all()
+    with files.open_input_stream(f"{path}.stretches") as source:
+        data = source.read()
+    n, out, at = len(data) // sum(np.dtype(x).itemsize for x in STORED), [], 0
+    for kind in STORED:
+        out.append(np.frombuffer(data, kind, n, at))
+        at += out[-1].nbytes
+    return rows, out
 
 
 def _anchor_rows(chunks: DataFrame) -> DataFrame:
@@ -146,22 +158,20 @@ def _anchor_rows(chunks: DataFrame) -> DataFrame:
     return common.map_arrow(chunks, run, "chunk string, anchor long, n long", rows=1)
 
 
-def _found(rows: pa.Table, wanted: np.ndarray, window: int, anchor: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a chunk, and its stretches whose anchor is wanted."""
-    words = Words(rows["text"].combine_chunks())
-    hashes, first, n = stretches(words, window, anchor)
-    hashes = hashes.view(np.int64)
-    own = np.isin(hashes, wanted)
-    return words, hashes[own], first[own], n[own]
+def _found(uri: str, wanted: np.ndarray) -> tuple[pa.Table, Words, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk, its words, and its stretches whose anchor is wanted."""
+    rows, (hashes, first, n) = read_chunk(uri)
+    own = np.isin(hashes.view("<i8"), wanted)
+    return rows, Words(rows["text"].combine_chunks()), hashes.view("<i8")[own], first[own].astype(np.int64), n[own].astype(np.int64)
 
 
-def chunk_stretches(asked: DataFrame, path: str, window: int, anchor: int) -> DataFrame:
+def chunk_stretches(asked: DataFrame, path: str, window: int) -> DataFrame:
     """Distinct stretches of each chunk whose anchors are asked for: chunk, anchor, id (digest), content, n (how often)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                words, hashes, first, size = _found(read_chunk(f"{path}/{row['chunk']}"), np.array(row["anchors"], np.int64), window, anchor)
+                words, hashes, first, size = _found(f"{path}/{row['chunk']}", np.array(row["anchors"], np.int64))[1:]
                 seen: dict[bytes, int] = {}
                 anchors, contents, counts = [], [], []
                 for h, low, n in zip(hashes.tolist(), first.tolist(), size.tolist(), strict=True):
@@ -194,7 +204,7 @@ def repeated_windows(rows: DataFrame, window: int, shard_words: int = SHARD_WORD
             stops = split.offsets.to_numpy()[1:].astype(np.int64) - split.offsets[0].as_py()
             words = coded.indices.to_numpy().astype(np.int64) + 1
             index = FmIndex(np.insert(words, stops, 0), table["n"].to_numpy(), len(coded.dictionary) + 1)
-            reached = index.matching_statistics(words, stops, 2, window) >= window
+            reached = index.matching_statistics(words, stops, 2, window, indexed=True) >= window
             starts = np.concatenate([[0], stops[:-1]])
             bits = np.zeros(len(stops), np.int64)
             for k in range(int((stops - starts).max()) - window + 1):
@@ -271,7 +281,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     asked = places.join(again, "anchor").groupBy("chunk").agg(F.collect_list("anchor").alias("anchors"))  # those of one chunk
     # One row for each chunk: dealt out evenly, as each stands for a whole file.
     asked = asked.repartition(common.partitions(spark))
-    found = common.cut(chunk_stretches(asked, path, window, anchor), "found")
+    found = common.cut(chunk_stretches(asked, path, window), "found")
     verdicts = find_repeats(found.select("anchor", "id", "content", "n"), window, shard_words, hot)
     hits = found.select("chunk", "anchor", "id").join(verdicts, "id").groupBy("chunk").agg(F.collect_list(F.struct("anchor", "id", "bits")).alias("hits"))
     tasks = chunks.select("chunk").join(hits, "chunk", "left").repartition(common.partitions(spark))
@@ -279,9 +289,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                rows = read_chunk(f"{path}/{row['chunk']}")
                 bits = {x["id"]: x["bits"] for x in row["hits"] or []}
-                words, _, first, size = _found(rows, np.array([x["anchor"] for x in row["hits"] or []], np.int64), window, anchor)
+                rows, words, _, first, size = _found(f"{path}/{row['chunk']}", np.array([x["anchor"] for x in row["hits"] or []], np.int64))
                 own = np.fromiter((bits.get(xxhash.xxh3_128_digest(words.run(low, high)), 0) for low, high in zip(first.tolist(), (first + size + window - 1).tolist(), strict=True)), np.int64, len(first))
                 change = np.zeros(len(words.starts) + 1, np.int64)
                 for k in range(window - anchor + 1):  # each window is in one stretch
