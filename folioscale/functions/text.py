@@ -69,6 +69,11 @@ def _folded(text: str) -> str:
     return "".join(c for c in _compatible(text).casefold() if c.isalnum() or HAN_FIRST <= c <= HAN_LAST)
 
 
+def folded_case(text: Column) -> Column:
+    """Upper and lower case made one, in full: a sharp s becomes two letters."""
+    return _per_text(lambda x: x.lower() if x.isascii() else x.casefold())(text)
+
+
 def compatible(text: Column) -> Column:
     """Compatibility forms become the characters they stand for: full-width letters, ligatures, circled digits."""
     return _per_text(_compatible)(text)
