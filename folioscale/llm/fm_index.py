@@ -170,20 +170,11 @@ class FmIndex:
         self.first = np.cumsum(often) - often
         self.tree = WaveletTree(words[order - 1], n_words)
 
-    def extend(self, word: np.ndarray, low: np.ndarray, high: np.ndarray, indexed: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of suffixes that start with a word before what each interval [low, high) has in common.
-
-        indexed: the words come from sequences of the index, so an interval of one suffix is the sequence's own, and its
-        extension is one suffix too.
-        """
-        first, wide = self.first[word], np.flatnonzero(high - low != 1)
-        if not indexed or 2 * len(wide) > len(word):
-            low, high = self.tree.ranks(word, low, high)
-            return low + first, high + first
-        low = self.tree.rank(word, low) + first
-        out = low + 1
-        out[wide] = self.tree.rank(word[wide], high[wide]) + first[wide]
-        return low, out
+    def extend(self, word: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of suffixes that start with a word before what each interval [low, high) has in common."""
+        low, high = self.tree.ranks(word, low, high)
+        first = self.first[word]
+        return low + first, high + first
 
     def parent(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The next wider intervals, and how many words all of their suffixes share."""
@@ -198,7 +189,8 @@ class FmIndex:
         """For each place of sequences (stops: where each ends) the longest run from there on that occurs `least` times.
 
         asked: a sequence is left as soon as no run of so many words can follow in it; its other places stay 0.
-        indexed: all sequences are sequences of the index.
+        indexed: all sequences are sequences of the index. An interval of one suffix is then the sequence's own, which
+        stands for `least` places by itself, so every longer run of it does too and needs no more search.
 
         Sequences are read backward, one word of each a step: the interval of the longest run so far is extended by the
         word before it, and gives up words at its far end as long as fewer than `least` occurrences are left.
@@ -214,7 +206,7 @@ class FmIndex:
             left = np.arange(len(own))
             while len(left):
                 who = own[left]
-                new_low, new_high = self.extend(words[at[left]], low[who], high[who], indexed)
+                new_low, new_high = self.extend(words[at[left]], low[who], high[who])
                 enough = (self.weight[new_high] - self.weight[new_low] >= least) & (new_high > new_low)
                 good = who[enough]
                 low[good], high[good] = new_low[enough], new_high[enough]
@@ -226,4 +218,10 @@ class FmIndex:
                 low[bad], high[bad], run[bad] = self.parent(low[bad], high[bad])
                 left = left[~enough][~done]
             out[at] = run[own]
+            if indexed:
+                alone = high[own] - low[own] == 1
+                settled, own = own[alone], own[~alone]
+                rest = sizes[settled] - step - 1
+                back = np.arange(rest.sum()) - np.repeat(np.cumsum(rest) - rest, rest)
+                out[np.repeat(starts[settled], rest) + back] = np.repeat(run[settled] + rest, rest) - back
         return out

@@ -22,6 +22,8 @@ def test_matching_statistics_equal_counting(seed):
         got = index.matching_statistics(np.concatenate(asked), np.cumsum([*map(len, asked)]), least)
         want = [next(n for n in range(len(s) - i, -1, -1) if n == 0 or occurrences(s[i : i + n], sequences, weights) >= least) for s in asked for i in range(len(s))]
         assert got.tolist() == want
+        inner = np.concatenate(sequences), np.cumsum([*map(len, sequences)])
+        assert index.matching_statistics(*inner, least, indexed=True).tolist() == want[: len(inner[0])]
 
 
 def test_rank_of_the_wavelet_tree():
