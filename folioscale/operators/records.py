@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioscale.functions.text import normal
+from folioscale.operators import intervals
 from folioscale.operators.views import sentence_spans
 from folioscale.operators.wording import family
 from folioscale.session import table
@@ -38,14 +40,8 @@ def match_targets(targets: DataFrame, products: DataFrame) -> DataFrame:
 
     targets: target, id, name, year; products: product, name, aliases (array), year. Years are texts, empty if unknown.
     """
-
-    def plain(value: Column) -> Column:
-        return F.regexp_replace(F.lower(F.coalesce(value.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]", "")
-
-    asked = targets.select("target", F.coalesce("year", F.lit("")).alias("wanted"), F.explode(F.array_distinct(F.array(plain(F.col("id")), plain(F.col("name"))))).alias("identity")).where("identity <> ''")
-    names = F.concat(F.array(F.col("product").cast("string"), F.col("name")), F.coalesce("aliases", F.array().cast("array<string>")))
-    known = products.select("product", F.coalesce("year", F.lit("")).alias("year"), F.explode(F.array_distinct(F.transform(names, plain))).alias("identity")).where("identity <> ''")
-    return asked.join(known, "identity").where("wanted = '' OR year = '' OR wanted = year").select("target", "product").distinct()
+    met = _asked(targets).join(_known(products), "identity")
+    return met.where("wanted = '' OR year = '' OR wanted = year").select("target", "product").distinct()
 
 
 def selection_verdicts(selected: DataFrame, readable: DataFrame, request: str, key: str) -> DataFrame:
@@ -166,11 +162,33 @@ def cache_use(files: DataFrame, cache: DataFrame, version: str) -> DataFrame:
     return files.join(kept, ["sha", "suffix"], "left").withColumn("hit", F.col("hit").isNotNull())
 
 
+def _asked(targets: DataFrame) -> DataFrame:
+    named = targets.select("target", F.coalesce("year", F.lit("")).alias("wanted"), F.explode(F.array_distinct(F.array(normal(F.col("id").cast("string")), normal(F.col("name"))))).alias("identity"))
+    return named.where("identity <> ''")
+
+
+def _known(products: DataFrame) -> DataFrame:
+    names = F.concat(F.array(F.col("product").cast("string"), F.col("name")), F.coalesce("aliases", F.array().cast("array<string>")))
+    named = products.select("product", F.coalesce("year", F.lit("")).alias("year"), F.explode(F.array_distinct(names)).alias("name"))
+    return named.select("product", "year", normal(F.col("name")).alias("identity")).where("identity <> ''").distinct()
+
+
 def unique_matches(targets: DataFrame, products: DataFrame) -> DataFrame:
-    """target, state (one, none or many) and product of each target: a selection counts only if a single product matches."""
-    found = match_targets(targets, products).groupBy("target").agg(F.count("*").alias("n"), F.min("product").alias("product"))
-    state = F.when(F.col("n") == 1, "one").when(F.col("n") > 1, "many").otherwise("none")
-    return targets.select("target").distinct().join(found, "target", "left").select("target", state.alias("state"), F.when(F.col("n") == 1, F.col("product")).alias("product"))
+    """target, state (one, none or many) and product of each target: a selection counts only if a single product matches.
+
+    Products are counted for each identity and year first; a target meets two identities, and three counts of each, at
+    most, and no pair of a target and a product is made.
+    """
+    by_year = _known(products).groupBy("identity", "year").agg(F.count("*").alias("n"), F.min("product").alias("least"))
+    whole = by_year.groupBy("identity").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    asked = _asked(targets)
+    any_year = asked.where("wanted = ''").join(whole, "identity")
+    own = asked.where("wanted <> ''").withColumn("year", F.explode(F.array(F.lit(""), F.col("wanted")))).join(by_year, ["identity", "year"])
+    found = any_year.select("target", "n", "least").unionByName(own.select("target", "n", "least"))
+    counted = found.groupBy("target").agg(F.max("n").alias("most"), F.min("least").alias("low"), F.max("least").alias("high"))
+    one = (F.col("most") == 1) & (F.col("low") == F.col("high"))
+    state = F.when(one, "one").when(F.col("most").isNotNull(), "many").otherwise("none")
+    return targets.select("target").distinct().join(counted, "target", "left").select("target", state.alias("state"), F.when(one, F.col("low")).alias("product"))
 
 
 def plan_violations(nodes: DataFrame, active: DataFrame, least: int = LEAST_NODES, most: int = MOST_NODES) -> DataFrame:
@@ -199,8 +217,8 @@ def claim_plan(units: DataFrame, versions: DataFrame) -> DataFrame:
 
 def pending_after(pending: DataFrame, reviewed: DataFrame, key: str) -> DataFrame:
     """Pending spans (start, end) that lie in no reviewed span of their key."""
-    done = reviewed.select(F.col(key).alias("_key"), F.col("start").alias("_from"), F.col("end").alias("_to")).distinct()
-    return pending.join(done, (F.col(key) == F.col("_key")) & (F.col("_from") <= F.col("start")) & (F.col("end") <= F.col("_to")), "left_anti")
+    done = intervals.contained(pending, reviewed, key)
+    return pending.join(done, [key, "start", "end"], "left_anti")
 
 
 def batch_verdicts(reviews: DataFrame, scanned: DataFrame, batch: str, key: str) -> DataFrame:
@@ -213,8 +231,8 @@ def batch_verdicts(reviews: DataFrame, scanned: DataFrame, batch: str, key: str)
 def segment_of(spans: DataFrame, segments: DataFrame, key: str) -> DataFrame:
     """key, place and start of the segment (start, end) that holds a place; start is null where none does."""
     at = spans.select(key, "place")
-    own = segments.select(F.col(key).alias("_key"), "start", "end")
-    return at.join(own, (F.col(key) == F.col("_key")) & (F.col("start") <= F.col("place")) & (F.col("place") < F.col("end")), "left").select(key, "place", "start")
+    held = intervals.point_join(at.distinct(), segments.select(key, "start", "end"), key, "place")
+    return at.join(held.select(key, "place", "start"), [key, "place"], "left")
 
 
 def q_replacement_candidates(spark: SparkSession, sf: str) -> DataFrame:

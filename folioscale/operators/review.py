@@ -71,9 +71,18 @@ def same_multiset(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def unresolved_spans(spans: DataFrame, atoms: DataFrame) -> DataFrame:
-    """atom_id and the unresolved spans (same product and version) that share a property or a topic with it."""
-    met = atoms.select("atom_id", "product", "version", F.col("properties").alias("_p"), F.col("topics").alias("_t")).join(spans, ["product", "version"])
-    return met.where(F.arrays_overlap("_p", "properties") | F.arrays_overlap("_t", "topics")).groupBy("atom_id").agg(F.count("*").alias("spans"))
+    """atom_id and the number of unresolved spans (same product and version) that share a property or a topic with it.
+
+    Both sides are reduced to the different sets of properties and topics that occur, which are few whatever the number of
+    spans; sets meet sets, and counts come back to the atoms.
+    """
+    sets = ["product", "version", "properties", "topics"]
+    sorted_ = lambda rows: rows.withColumns({c: F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>")))) for c in sets[2:]})
+    counted = sorted_(spans).groupBy(*sets).agg(F.count("*").alias("n")).withColumnsRenamed({"properties": "_p", "topics": "_t"})
+    asked = sorted_(atoms.select("atom_id", *sets))
+    met = asked.select(*sets).distinct().join(counted, ["product", "version"])
+    found = met.where(F.arrays_overlap("_p", "properties") | F.arrays_overlap("_t", "topics")).groupBy(*sets).agg(F.sum("n").alias("spans"))
+    return asked.join(found, sets).select("atom_id", "spans")
 
 
 def topic_pages(docs: DataFrame, key: str, labels: str) -> DataFrame:
