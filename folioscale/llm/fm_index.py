@@ -3,7 +3,7 @@
 Words are numbers from 1 on; 0 ends a sequence. The transform is kept as a wavelet tree whose shape follows a prefix
 code of the words' frequencies, so frequent words take few bits; rank is answered from 64-bit words and a running
 count. Suffixes are sorted to a depth of DEPTH words, which is enough for patterns up to that length. Sequences weigh
-as many occurrences as they stand for. Searches go backward over many sequences at once, one word of each a step.
+as many occurrences as they stand for. Searches go backward over many sequences at once, each at its own place.
 """
 
 from __future__ import annotations
@@ -55,8 +55,10 @@ def common_prefixes(order: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
 
 def smaller_before(values: np.ndarray) -> np.ndarray:
     """For each place the last one before it with a smaller value, -1 if there is none."""
-    before = np.arange(-1, len(values) - 1)
-    left = np.arange(len(values))
+    values = values.astype(np.int8)
+    before = np.arange(-1, len(values) - 1, dtype=np.int32)
+    left = np.flatnonzero(np.concatenate([[False], values[:-1] >= values[1:]])).astype(np.int32)
+    before[left] = before[left - 1]
     while len(left):
         at = before[left]
         left = left[(at >= 0) & (values[at] >= values[left])]
@@ -81,14 +83,15 @@ class WaveletTree:
         code[order] = np.cumsum(room) - room
         self.size, self.code, self.depth, self.n = size.astype(np.int8), code.astype(np.int32), depth, n
         bits, offset, base, child = [], [], [], []
-        own, nodes, at = sequence, 1, 0
-        node = np.zeros(n, np.int64)
+        code, size, own, nodes, at = self.code, self.size, sequence.astype(np.int32), 1, 0
+        node = np.zeros(n, np.int32)
         first = 0
         for level in range(depth):
             bit = (code[own] >> (depth - 1 - level)) & 1
-            ones = np.concatenate([[0], np.cumsum(bit)])
-            length = np.bincount(node, minlength=nodes)
-            start = np.cumsum(length) - length
+            ones = np.zeros(len(own) + 1, np.int32)
+            np.cumsum(bit, out=ones[1:])
+            length = np.bincount(node, minlength=nodes).astype(np.int32)
+            start = (np.cumsum(length) - length).astype(np.int32)
             offset.append(at + start)
             base.append(ones[start])
             bits.append(bit.astype(bool))
@@ -96,15 +99,15 @@ class WaveletTree:
             n_ones = ones[start + length] - ones[start]
             # Stable within each node: zeros before ones.
             ones_before = ones[:-1] - ones[start][node]
-            place = start[node] + np.where(bit == 1, (length - n_ones)[node] + ones_before, np.arange(len(own)) - start[node] - ones_before)
+            place = start[node] + np.where(bit == 1, (length - n_ones)[node] + ones_before, np.arange(len(own), dtype=np.int32) - start[node] - ones_before)
             follows = np.empty_like(place)
-            follows[place] = np.arange(len(own))
+            follows[place] = np.arange(len(own), dtype=np.int32)
             own, key = own[follows], (2 * node + bit)[follows]
             goes_on = size[own] > level + 1
             own, key = own[goes_on], key[goes_on]
             there = np.zeros(2 * nodes, bool)
             there[key] = True
-            live, node = np.flatnonzero(there), (np.cumsum(there) - 1)[key]
+            live, node = np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - 1)[key]
             kids = np.full(2 * nodes, -1, np.int64)
             kids[live] = first + nodes + np.arange(len(live))
             child.append(kids.reshape(nodes, 2))
@@ -192,36 +195,31 @@ class FmIndex:
         indexed: all sequences are sequences of the index. An interval of one suffix is then the sequence's own, which
         stands for `least` places by itself, so every longer run of it does too and needs no more search.
 
-        Sequences are read backward, one word of each a step: the interval of the longest run so far is extended by the
+        Sequences are read backward: the interval of the longest run so far is extended by the
         word before it, and gives up words at its far end as long as fewer than `least` occurrences are left.
         """
         starts = np.concatenate([[0], stops[:-1]])
         out = np.zeros(len(words), np.int64)
         low, high, run = np.zeros(len(stops), np.int64), np.full(len(stops), self.n), np.zeros(len(stops), np.int64)
-        own, sizes = np.arange(len(stops)), stops - starts
-        for step in range(int(sizes.max()) if len(sizes) else 0):
-            # Those with a word left, and whose run can still grow long enough.
-            own = own[(sizes[own] > step) & (run[own] + sizes[own] - step >= asked)]
-            at = stops[own] - 1 - step
-            left = np.arange(len(own))
-            while len(left):
-                who = own[left]
-                new_low, new_high = self.extend(words[at[left]], low[who], high[who])
-                enough = (self.weight[new_high] - self.weight[new_low] >= least) & (new_high > new_low)
-                good = who[enough]
-                low[good], high[good] = new_low[enough], new_high[enough]
-                run[good] += 1
-                bad = who[~enough]
-                done = run[bad] == 0
-                low[bad[done]], high[bad[done]] = 0, self.n
-                bad = bad[~done]
-                low[bad], high[bad], run[bad] = self.parent(low[bad], high[bad])
-                left = left[~enough][~done]
-            out[at] = run[own]
+        at, own = stops - 1, np.arange(len(stops))
+        while len(own := own[(at[own] >= starts[own]) & (run[own] + at[own] - starts[own] + 1 >= asked)]):
+            new_low, new_high = self.extend(words[at[own]], low[own], high[own])
+            enough = (self.weight[new_high] - self.weight[new_low] >= least) & (new_high > new_low)
+            good = own[enough]
+            low[good], high[good] = new_low[enough], new_high[enough]
+            run[good] += 1
+            out[at[good]] = run[good]
+            bad = own[~enough]
+            none = bad[run[bad] == 0]
+            low[none], high[none] = 0, self.n
+            at[good] -= 1
+            at[none] -= 1
+            bad = bad[run[bad] > 0]
+            low[bad], high[bad], run[bad] = self.parent(low[bad], high[bad])
             if indexed:
-                alone = high[own] - low[own] == 1
-                settled, own = own[alone], own[~alone]
-                rest = sizes[settled] - step - 1
+                settled = good[high[good] - low[good] == 1]
+                rest = at[settled] - starts[settled] + 1
                 back = np.arange(rest.sum()) - np.repeat(np.cumsum(rest) - rest, rest)
                 out[np.repeat(starts[settled], rest) + back] = np.repeat(run[settled] + rest, rest) - back
+                at[settled] = -1
         return out
