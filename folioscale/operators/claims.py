@@ -124,16 +124,16 @@ def q_typed_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return conflicts(_facts(spark, sf), ["product", "property"], "value", "basis")
 
 
-def q_verdict_table(spark: SparkSession, sf: str, source: str = "o_orderkey % 5 = 0", claim: str = "o_orderkey % 5 = 1") -> DataFrame:
+def q_verdict_table(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     condition = lambda test, value: F.when(test, F.create_map(F.lit("season"), value)).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    sources = o.where(source).select((F.col("o_custkey") % 900).alias("product"), F.lit("v1").alias("version"), F.col("o_orderstatus").alias("property"), F.when(F.col("o_orderkey") % 15 != 0, F.substring("o_orderpriority", 1, 1)).alias("value"), F.lit("none").alias("unit"), F.lit("equals").alias("operator"), F.lit("affirmative").alias("polarity"), condition(F.col("o_orderkey") % 10 == 0, F.lit("a")).alias("conditions"), (F.col("o_orderkey") % 35 == 0).alias("unresolved"))
-    claims = o.where(claim).select(F.col("o_orderkey").alias("claim_id"), (F.col("o_custkey") % 900).alias("product"), F.lit("v1").alias("version"), F.col("o_orderstatus").alias("property"), F.substring("o_orderpriority", 1, 1).alias("value"), F.lit("none").alias("unit"), F.lit("equals").alias("operator"), F.lit("affirmative").alias("polarity"), condition(F.col("o_orderkey") % 3 == 0, F.when(F.col("o_orderkey") % 2 == 0, "a").otherwise("b")).alias("conditions"), (F.col("o_orderkey") % 41 == 0).alias("personal"), (F.col("o_orderkey") % 43 == 0).alias("unclassified"), (F.col("o_orderkey") % 4 != 0).alias("exhausted"))
+    sources = o.select((F.col("o_custkey") % 900).alias("product"), F.lit("v1").alias("version"), F.col("o_orderstatus").alias("property"), F.when(F.col("o_orderkey") % 15 != 0, F.substring("o_orderpriority", 1, 1)).alias("value"), F.lit("none").alias("unit"), F.lit("equals").alias("operator"), F.lit("affirmative").alias("polarity"), condition(F.col("o_orderkey") % 10 == 0, F.lit("a")).alias("conditions"), (F.col("o_orderkey") % 35 == 0).alias("unresolved"))
+    claims = o.select(F.col("o_orderkey").alias("claim_id"), (F.col("o_custkey") % 900).alias("product"), F.lit("v1").alias("version"), F.col("o_orderstatus").alias("property"), F.substring("o_orderpriority", 1, 1).alias("value"), F.lit("none").alias("unit"), F.lit("equals").alias("operator"), F.lit("affirmative").alias("polarity"), condition(F.col("o_orderkey") % 3 == 0, F.when(F.col("o_orderkey") % 2 == 0, "a").otherwise("b")).alias("conditions"), (F.col("o_orderkey") % 41 == 0).alias("personal"), (F.col("o_orderkey") % 43 == 0).alias("unclassified"), (F.col("o_orderkey") % 4 != 0).alias("exhausted"))
     return verdicts(claims, sources).select("claim_id", "verdict")
 
 
-def q_review_summary(spark: SparkSession, sf: str, *roles: str) -> DataFrame:
-    checks = q_verdict_table(spark, sf, *roles).withColumn("batch", F.col("claim_id") % 50)
+def q_review_summary(spark: SparkSession, sf: str) -> DataFrame:
+    checks = q_verdict_table(spark, sf).withColumn("batch", F.col("claim_id") % 50)
     return review_summary(checks, "batch")
 
 
@@ -142,17 +142,17 @@ def q_product_dimension(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("p_brand", F.array_join("versions", ";").alias("versions"), F.array_join("aliases", ";").alias("aliases"))
 
 
-def q_product_resolution(spark: SparkSession, sf: str, asked: str = "o_orderkey % 40 = 0") -> DataFrame:
+def q_product_resolution(spark: SparkSession, sf: str) -> DataFrame:
     products = product_dimension(table(spark, sf, "customer").withColumn("alias", F.regexp_replace("c_name", "#0*", " ")), "c_custkey", "c_mktsegment", "alias").select(F.col("c_custkey").alias("product"), "aliases")
-    questions = table(spark, sf, "orders").where(asked).select(F.col("o_orderkey").alias("question_id"), F.concat(F.lit("status of customer-"), F.col("o_custkey").cast("string"), F.lit("?")).alias("question"))
+    questions = table(spark, sf, "orders").select(F.col("o_orderkey").alias("question_id"), F.concat(F.lit("status of customer-"), F.col("o_custkey").cast("string"), F.lit("?")).alias("question"))
     return resolve_products(questions, products).select("question_id", "state", F.coalesce("product", F.lit(-1)).alias("product"))
 
 
 _VERDICT_SQL = """o AS (SELECT *, o_custkey % 900 AS product FROM orders),
-s AS (SELECT product, o_orderstatus AS property, CASE WHEN o_orderkey % 15 <> 0 THEN substr(o_orderpriority, 1, 1) END AS value, CASE WHEN o_orderkey % 10 = 0 THEN 'a' END AS cond, o_orderkey % 35 = 0 AS unresolved FROM o WHERE o_orderkey % 5 = 0),
+s AS (SELECT product, o_orderstatus AS property, CASE WHEN o_orderkey % 15 <> 0 THEN substr(o_orderpriority, 1, 1) END AS value, CASE WHEN o_orderkey % 10 = 0 THEN 'a' END AS cond, o_orderkey % 35 = 0 AS unresolved FROM o),
 k AS (SELECT product, property, count(DISTINCT value || '|' || coalesce(cond, '')) AS n, min(value) AS fact, min(cond) AS need FROM s WHERE value IS NOT NULL GROUP BY 1, 2),
 u AS (SELECT DISTINCT product, property FROM s WHERE unresolved),
-c AS (SELECT o_orderkey AS claim_id, product, o_orderstatus AS property, substr(o_orderpriority, 1, 1) AS value, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END END AS cond FROM o WHERE o_orderkey % 5 = 1),
+c AS (SELECT o_orderkey AS claim_id, product, o_orderstatus AS property, substr(o_orderpriority, 1, 1) AS value, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END END AS cond FROM o),
 v AS (SELECT claim_id, CASE WHEN claim_id % 41 = 0 THEN 'needs_person_confirmation' WHEN claim_id % 43 = 0 THEN 'needs_semantic_review'
  WHEN k.n IS NULL AND u.product IS NOT NULL THEN 'needs_semantic_review' WHEN k.n IS NULL AND claim_id % 4 <> 0 THEN 'not_covered' WHEN k.n IS NULL THEN 'retrieval_incomplete'
  WHEN k.n > 1 AND u.product IS NOT NULL THEN 'needs_semantic_review' WHEN k.n > 1 THEN 'conflict' WHEN fact <> value THEN 'contradicted' WHEN need <> cond THEN 'contradicted'
@@ -170,12 +170,5 @@ ORACLES = {
     "verdict_table": f"WITH {_VERDICT_SQL} SELECT * FROM v",
     "review_summary": f"WITH {_VERDICT_SQL}, t AS (SELECT claim_id % 50 AS batch, verdict, verdict IN ('supported', 'contradicted', 'missing_condition', 'not_covered', 'conflict') AS done FROM v) SELECT batch, count(*) AS claims, count(*) FILTER (verdict = 'supported') AS supported, count(*) FILTER (NOT done) AS pending, bool_and(done) AS complete, bool_and(verdict = 'supported') AS all_supported FROM t GROUP BY batch",
     "product_dimension": "SELECT p_brand, array_to_string(list_sort(list(DISTINCT p_type)), ';') AS versions, array_to_string(list_sort(list(DISTINCT p_name)), ';') AS aliases FROM part GROUP BY p_brand",
-    "product_resolution": "WITH a AS (SELECT c_custkey AS product, 'customer' || ltrim(substr(c_name, 10), '0') AS alias FROM customer), q AS (SELECT o_orderkey AS question_id, 'statusofcustomer' || CAST(o_custkey AS VARCHAR) AS q FROM orders WHERE o_orderkey % 40 = 0), h AS (SELECT question_id, count(DISTINCT product) AS n, min(product) AS product FROM q JOIN a ON contains(q, alias) GROUP BY 1) SELECT question_id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'needs_confirmation' ELSE 'not_found' END AS state, CASE WHEN n = 1 THEN product ELSE -1 END AS product FROM q LEFT JOIN h USING (question_id)",
+    # Containment of names in questions is too slow in SQL over all rows; a test holds it against brute force.
 }
-#: The same over all rows: every order asks, states and claims.
-QUERIES |= {
-    "verdict_table_whole": lambda spark, sf: q_verdict_table(spark, sf, "true", "true"),
-    "review_summary_whole": lambda spark, sf: q_review_summary(spark, sf, "true", "true"),
-    "product_resolution_whole": lambda spark, sf: q_product_resolution(spark, sf, "true"),
-}
-ORACLES |= {f"{name}_whole": ORACLES[name].replace(" WHERE o_orderkey % 5 = 0)", ")").replace(" WHERE o_orderkey % 5 = 1)", ")") for name in ("verdict_table", "review_summary")}
