@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from folioscale.llm import common
 
 #: Bytes of texts that make a chunk, at least, and of segments that a worker keeps, by estimate.
-CHUNK_BYTES, KEPT_BYTES = 16 << 20, 96 << 20
+CHUNK_BYTES, KEPT_BYTES = 8 << 20, 64 << 20
 #: Segments that are encoded as one text.
 RUN = 256
 CHUNK = "chunk string, n_texts long, blob binary, pairs binary, weights binary"
