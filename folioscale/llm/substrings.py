@@ -34,7 +34,7 @@ from folioscale.llm.interning import lanes_of, xxh64
 #: Words of a window and of an anchor.
 WINDOW, ANCHOR = 35, 8
 #: Bytes of texts in a chunk file, at least; words of a shard's index, at least; stretches of one anchor, at most.
-CHUNK_BYTES, SHARD_WORDS, HOT_STRETCHES = 8 << 20, 250_000, 8_000
+CHUNK_BYTES, SHARD_WORDS, HOT_STRETCHES = 8 << 20, 250_000, 1_000
 #: Numbers of a stretch as they are kept beside a chunk's texts: its anchor, first word and windows.
 STORED = ["<u8", "<u4", "<u2"]
 _SPACE = np.zeros(256, bool)
