@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscale.session import table
+from folioscale.session import kept, table
 
 #: How much of a node's score its sources get, by their rank.
 DECAY = [0.96, 0.62, 0.48, 0.38, 0.32, 0.28]
@@ -25,6 +26,69 @@ def greedy_fit(sizes: Column, budget: int) -> Column:
     return F.aggregate(F.transform(sizes, lambda x: x.cast("long")), start, step)["kept"]
 
 
+def budgeted(rows: DataFrame, order: Sequence[str], size: str, total: int, most: int) -> DataFrame:
+    """rows with verdict: taken, count (so many are taken already) or total (it would not fit any more, and is passed over).
+
+    Rows are taken in order, each that still fits, whatever was passed over before: what is taken depends on all that came
+    before it. Ranges of the order are summed up at once, over the sizes that could still fit. Ranges that fit as a whole
+    are taken without a look at their rows; only one that does not is walked row by row, in a task of its own, and the
+    rest is summed up again for the room that it leaves. Null sizes count nothing. Equal rows of the order come in any order.
+    """
+    spark, partitions = rows.sparkSession, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in order]
+    dealt = rows.withColumn("_size", F.coalesce(F.col(size), F.lit(0)).cast("long")).repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
+    place = F.monotonically_increasing_id()
+    dealt = kept(dealt.withColumn("_part", F.shiftright(place, 33)).withColumn("_place", place), "ranges")
+    room, left, at = total, most, -1
+    ended = None if most > 0 else -1  # the range with the last row that was taken by its number
+    limits: list[tuple[int, int]] = []  # of ranges that were taken whole: the greatest size that could fit
+    walked: list[DataFrame] = []
+    while ended is None:
+        # One row for each range that is left.
+        sums = dealt.where((F.col("_part") > at) & (F.col("_size") <= room)).groupBy("_part").agg(F.sum("_size").alias("s"), F.count("*").alias("n")).orderBy("_part").collect()
+        start = room
+        stop = None
+        for own in sums:
+            if own.s > room or own.n >= left:
+                stop = own["_part"]
+                break
+            room, left = room - own.s, left - own.n
+            limits.append((own["_part"], start))
+        if stop is None:
+            break
+        found = kept(_walk(dealt.where(F.col("_part") == stop), room, left), "walked")
+        walked.append(found)
+        last = found.agg(F.max_by(F.struct("room", "left"), "_place").alias("e")).first().e
+        room, left, at = last.room, last.left, stop
+        ended = None if left else at
+    whole = spark.createDataFrame(limits, "_part long, _limit long")
+    rest = dealt
+    for found in walked:
+        rest = rest.join(found.select("_place"), "_place", "left_anti")
+    met = rest.join(F.broadcast(whole), "_part", "left")  # a row for each range
+    own = F.when(F.col("_part") > (1 << 62 if ended is None else ended), "count").when(F.col("_size") <= F.coalesce("_limit", F.lit(-1)), "taken").otherwise("total")
+    out = met.withColumn("verdict", own).select(*rows.columns, "verdict")
+    for found in walked:
+        out = out.unionByName(dealt.join(found.select("_place", "verdict"), "_place").select(*rows.columns, "verdict"))
+    return out
+
+
+def _walk(part: DataFrame, room: int, left: int) -> DataFrame:
+    """_place, verdict, and the room and number left behind each row of one range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches([*batches], schema=pa.schema([("_place", pa.int64()), ("_size", pa.int64())])).sort_by("_place")
+        free, more, out = room, left, []
+        for size in held["_size"].to_pylist():
+            verdict = "count" if more == 0 else "taken" if size <= free else "total"
+            if verdict == "taken":
+                free, more = free - size, more - 1
+            out.append((verdict, free, more))
+        yield pa.RecordBatch.from_arrays([held["_place"].combine_chunks(), pa.array([o[0] for o in out], pa.string()), *[pa.array([o[i] for o in out], pa.int64()) for i in (1, 2)]], names=["_place", "verdict", "room", "left"])
+
+    return part.select("_place", "_size").coalesce(1).mapInArrow(run, "_place long, verdict string, room long, left long")
+
+
 def page_budgets(rows: DataFrame, group: Sequence[str], order: Sequence[Column], budget: int, floor: int = PAGE_FLOOR) -> DataFrame:
     """rows with bytes: a floor for each, and the rest of the budget by weights that halve from 8, leftovers one by one.
 
@@ -98,7 +162,15 @@ def q_keyset_page(spark: SparkSession, sf: str) -> DataFrame:
     return keyset_page(table(spark, sf, "orders").select("o_orderpriority", "o_orderkey", "o_custkey"), ["o_orderpriority", "o_orderkey"], ["2-HIGH", 500], 25)
 
 
+def q_greedy_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in the order of their paths within a budget of bytes that shrinks as they are taken, and a number of them."""
+    docs = table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "source", F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), F.octet_length("text").alias("bytes"))
+    whole = docs.agg(F.sum("bytes").alias("b"), F.count("*").alias("n")).first()
+    return budgeted(docs, ["path"], "bytes", whole.b // 3, whole.n * 2 // 3).select("doc_id", "verdict")
+
+
 QUERIES = {
+    "greedy_budget": q_greedy_budget,
     "greedy_byte_budget": q_greedy_byte_budget,
     "page_budget_alloc": q_page_budget_alloc,
     "generation_caps": q_generation_caps,
