@@ -256,10 +256,11 @@ def find_repeats(stretch_rows: DataFrame, window: int, shard_words: int = SHARD_
     many = distinct.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor")
     many = common.cut(many, "hot")
     usual = repeated_windows(distinct.join(many, "anchor", "left_anti"), window, shard_words)
-    single = common.cut(_single_windows(distinct.join(many, "anchor", "left_semi"), window), "windows")
+    single = _single_windows(distinct.join(many, "anchor", "left_semi"), window)
+    places = common.cut(single.select("id", "place", "own"), "windows")  # the contents are cheaper made again than kept
     own = single.groupBy("anchor", "own").agg(F.first("content").alias("content"), F.sum("n").alias("n"))
     hits = repeated_windows(own.select("anchor", F.col("own").alias("id"), "content", "n"), window, shard_words).select(F.col("id").alias("own"))
-    bits = single.join(hits, "own").groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, cast(place as int))")).alias("bits"))
+    bits = places.join(hits, "own").groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, cast(place as int))")).alias("bits"))
     return usual.unionByName(bits)
 
 
