@@ -43,3 +43,24 @@ def test_whole_queries_leave_no_row_out(spark, duck, name, source, key):
     got = catalogue.QUERIES[name](spark, SF)
     own = got.columns[0]
     assert {r[0] for r in got.select(own).distinct().collect()} == {r[0] for r in duck.execute(f"SELECT DISTINCT {key} FROM {source}").fetchall()}
+
+
+def confidence_rows(spark, sf):
+    connection = duckdb.connect()
+    connection.execute("SET threads = 1")
+    connection.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{sf}/lineitem.parquet')")
+    want = connection.execute(catalogue.ORACLES["line_confidence"])
+    names = [d[0] for d in want.description]
+    return sorted(map(cells, catalogue.QUERIES["line_confidence"](spark, sf).select(*names).collect())), sorted(map(cells, want.fetchall()))
+
+
+def test_line_confidence_adds_up_in_a_fixed_order(spark):
+    got, want = confidence_rows(spark, "/root/testdata/sf0.01")
+    assert got == want
+
+
+def test_line_confidence_of_lines_with_nulls(spark, tmp_path):
+    rows = ["(1, 1, 0.05, NULL)", "(1, 2, 0.01, 'N')", "(2, 1, 0.09, NULL)", "(3, NULL, 0.09, 'N')", "(3, 1, NULL, 'A')", "(NULL, 1, 0.09, 'N')", "(4, 3, 0.09, 'N')", "(4, 2, 0.02, 'R')", "(5, 1, 'nan'::DOUBLE, 'N')", "(5, 2, 0.09, 'N')"]
+    duckdb.sql(f"COPY (SELECT k::BIGINT AS l_orderkey, n::INTEGER AS l_linenumber, d::DOUBLE AS l_discount, f AS l_returnflag FROM (VALUES {', '.join(rows)}) t(k, n, d, f)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    got, want = confidence_rows(spark, tmp_path)
+    assert got == want and ("2", "NULL", "NULL", "ok") in got
