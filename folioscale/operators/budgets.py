@@ -92,14 +92,14 @@ def _walk(part: DataFrame, room: int, left: int) -> DataFrame:
 def page_budgets(rows: DataFrame, group: Sequence[str], order: Sequence[Column], budget: int, floor: int = PAGE_FLOOR) -> DataFrame:
     """rows with bytes: a floor for each, and the rest of the budget by weights that halve from 8, leftovers one by one.
 
-    A group whose floors alone exceed the budget is an error.
+    A group whose floors alone exceed the budget has null bytes in all of its rows; other groups don't depend on it.
     """
     by = Window.partitionBy(*group)
     placed = rows.withColumn("_rank", F.row_number().over(by.orderBy(*order))).withColumn("_n", F.count("*").over(by))
     weight = F.floor(F.greatest(F.lit(8) / F.pow(F.lit(2.0), F.col("_rank") - 1), F.lit(1.0)))
     weighed = placed.withColumn("_w", weight).withColumn("_sum", F.sum("_w").over(by))
     rest = F.lit(budget) - F.lit(floor) * F.col("_n")
-    share = F.when(rest >= 0, F.floor(rest * F.col("_w") / F.col("_sum")) + floor).otherwise(F.raise_error(F.lit("not enough bytes for the pages of a group")))
+    share = F.when(rest >= 0, F.floor(rest * F.col("_w") / F.col("_sum")) + floor)
     shared = weighed.withColumn("_share", share.cast("long")).withColumn("_left", F.lit(budget) - F.sum("_share").over(by))
     return shared.withColumn("bytes", F.col("_share") + (F.col("_rank") <= F.col("_left")).cast("long")).drop("_rank", "_n", "_w", "_sum", "_share", "_left")
 

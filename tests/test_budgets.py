@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 
 from folioscale.operators import budgets
@@ -57,3 +58,14 @@ def test_a_folder_within_its_budgets(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x" * size)
     got = {r.relative: r.issue for r in readers.scan_within(spark, str(tmp_path), 3, 100, 12).collect()}
     assert got == {"a.md": None, "b.md": "no_room_left", "c.txt": None, "d.md": None, "e.exe": "unsupported", "f.md": "too_large"}
+
+
+def test_pages_of_a_group_that_has_no_room(spark, tmp_path):
+    """One order of 20 lines (floors of 20480 bytes within 20000) has no bytes, and the others keep theirs, as in the SQL."""
+    lines = " UNION ALL ".join(f"SELECT {k}::BIGINT AS l_orderkey, n::INTEGER AS l_linenumber, n::BIGINT AS l_partkey, 0::BIGINT AS l_suppkey FROM range({n}) r(n)" for k, n in ((1, 19), (2, 20), (3, 2), (4, 1100)))
+    duckdb.sql(f"COPY ({lines}) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet')")
+    want = sorted(connection.execute(budgets.ORACLES["page_budget_alloc"]).fetchall())
+    got = sorted(map(tuple, budgets.QUERIES["page_budget_alloc"](spark, str(tmp_path)).collect()))
+    assert got == want and got[1] == (2, 20, None, None, None) and got[0][4] == 20_000
