@@ -17,6 +17,9 @@ STATEMENTS = [
     ("loan_limit_percent", "percent", "maximum", r"(?:不得超过|不超过|上限为)[^。；]*?([0-9]+(?:\.[0-9]+)?)\s*%"),
 ]
 
+#: Hashes of the first characters of aliases.
+HEADS = 1 << 16
+
 
 def decimal_text(value: Column) -> Column:
     """A number's one spelling: no sign of plus, no zeros that say nothing."""
@@ -102,17 +105,25 @@ def resolve_products(questions: DataFrame, products: DataFrame) -> DataFrame:
     """question_id with state and product: an alias in the question's normal form resolves it if only one product has such.
 
     Wherever a question has the first three characters of an alias, its runs of the lengths of such aliases are cut out,
-    so the containment test is an equi join on whole aliases.
+    so the containment test is an equi join on whole aliases. What is broadcast are the lengths alone, by a hash of those
+    characters: HEADS rows at most, however many aliases there are (two heads of one hash only cut out more runs). Of an
+    alias that several products share the join has one row, with the least and greatest of them.
     """
-    a = products.select("product", F.explode("aliases").alias("alias")).withColumn("alias", F.regexp_replace(F.lower("alias"), r"[^\p{L}\p{N}]", "")).where("length(alias) >= 3").distinct()
-    lengths = a.groupBy(F.substring("alias", 1, 3).alias("_h")).agg(F.collect_set(F.length("alias")).alias("_n"))
-    q = questions.withColumn("_q", F.regexp_replace(F.lower("question"), r"[^\p{L}\p{N}]", ""))
-    heads = F.when(F.length("_q") >= 3, F.transform(F.sequence(F.lit(1), F.length("_q") - 2), lambda i: F.struct(i.alias("at"), F.col("_q").substr(i, F.lit(3)).alias("_h"))))
-    runs = q.select("question_id", "_q", F.inline(heads)).join(lengths, "_h").select("question_id", "_q", "at", F.explode("_n").alias("n")).where("at + n - 1 <= length(_q)")
-    met = runs.select("question_id", F.col("_q").substr(F.col("at"), F.col("n")).alias("alias")).distinct().join(a, "alias")
-    hit = met.groupBy("question_id").agg(F.count_distinct("product").alias("n"), F.min("product").alias("product"))
-    state = F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "needs_confirmation").otherwise("not_found")
-    return questions.select("question_id").join(hit, "question_id", "left").select("question_id", state.alias("state"), F.when(F.col("n") == 1, F.col("product")).alias("product"))
+    plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(HEADS))
+    named = products.select("product", F.explode("aliases").alias("alias")).select("product", plain("alias").alias("alias")).where("length(alias) >= 3")
+    a = named.groupBy("alias").agg(F.min("product").alias("low"), F.max("product").alias("high"))
+    lengths = a.groupBy(hashed(F.substring("alias", 1, 3)).alias("_h")).agg(F.collect_set(F.length("alias")).alias("_n"))
+    q = questions.withColumn("_q", plain("question"))
+    heads = F.when(F.length("_q") >= 3, F.transform(F.sequence(F.lit(1), F.length("_q") - 2), lambda i: F.struct(i.alias("at"), hashed(F.col("_q").substr(i, F.lit(3))).alias("_h"))))
+    runs = q.select("question_id", "_q", F.inline(heads)).join(F.broadcast(lengths), "_h").select("question_id", "_q", "at", F.explode("_n").alias("n")).where("at + n - 1 <= length(_q)")
+    # Nothing else is broadcast: files of names are far smaller than their rows, so their size tells little.
+    met = runs.select("question_id", F.col("_q").substr(F.col("at"), F.col("n")).alias("alias")).join(a.hint("merge"), "alias")
+    hit = met.groupBy("question_id").agg(F.min("low").alias("product"), F.max("high").alias("high"))
+    one = F.col("product") == F.col("high")
+    state = F.when(one, "resolved").when(F.col("product").isNotNull(), "needs_confirmation").otherwise("not_found")
+    found = questions.select("question_id").join(hit.hint("merge"), "question_id", "left")
+    return found.select("question_id", state.alias("state"), F.when(one, F.col("product")).alias("product"))
 
 
 def _facts(spark: SparkSession, sf: str) -> DataFrame:

@@ -156,6 +156,18 @@ def test_products_are_joined_on_whole_aliases(spark):
     assert "Contains" not in plan and "contains" not in plan
 
 
+def test_products_that_share_an_alias_are_not_multiplied(spark):
+    """One alias of all products in every question: the join has a row a question, and only a bounded table is broadcast."""
+    products = spark.range(3000).select(F.col("id").alias("product"), F.array(F.lit("Common plan"), F.concat(F.lit("own-"), F.col("id") + 1000)).alias("aliases"))
+    questions = spark.range(3000).select(F.col("id").alias("question_id"), F.concat(F.lit("the common plan of own-"), F.col("id") + 1000, F.lit(" and common-plan")).alias("question"))
+    asked = questions.union(questions.select(F.col("question_id") + 3000, F.concat(F.lit("OWN "), F.col("question_id") + 1000)))
+    got = claims.resolve_products(asked, products)
+    assert got.where("question_id < 3000 and state = 'needs_confirmation' and product is null").count() == 3000
+    assert got.where("question_id >= 3000 and state = 'resolved' and product = question_id - 3000").count() == 3000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and "collect_set(length(alias" in plan[plan.index("BroadcastExchange") :]
+
+
 def test_damaged_texts_and_late_injections(spark):
     quality = lambda s: one(spark, gates.text_quality(F.col("t")), t=s)
     assert [quality(s) for s in ("x" * 40 + "\ufffd" * 3, "(cid:12) words", "  ", "plain words")] == ["unreadable", "unreadable", "empty", "ok"]
