@@ -83,6 +83,22 @@ def test_targets_and_selection(spark):
     assert records.match_targets(targets.limit(0), products).count() == 0
 
 
+def test_targets_meet_each_product_once(spark, monkeypatch):
+    """Several shared keys, rows of one target or product, and blocks of a hot key: as all pairs that are held against each other."""
+    monkeypatch.setattr(records, "BLOCK", 4)
+    rng = random.Random(11)
+    years = ["", "2024", "2025", None]
+    products = [(p, rng.choice(["Gold", "Silver plan", None]), rng.sample(["all", "A-1", "b 2", str(p)], rng.randrange(0, 4)), rng.choice(years)) for p in [*range(40), 3, 3, 7]]
+    targets = [(t, rng.choice([None, "3", "a1", "ALL"]), rng.choice(["gold", "All", "silver-plan", "", "B2"]), rng.choice(years)) for t in [*range(60), 5, 5, 9]]
+    plain = lambda x: "".join(c for c in (x or "").lower() if c.isalnum())
+    want = {(t, p) for t, i, n, y in targets for p, m, a, z in products if ({plain(i), plain(n)} - {""}) & {plain(x) for x in (str(p), m, *a)} and (not y or not z or y == z)}
+    got = records.match_targets(spark.createDataFrame(targets, "target long, id string, name string, year string"), spark.createDataFrame(products, "product long, name string, aliases array<string>, year string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    # No pair is moved: what is dealt out are blocks, and nothing is summed up or compared over pairs.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Exchange")
+
+
 def test_prior_views_and_reviews(spark):
     candidates = spark.createDataFrame([(1, 10, None), (2, 20, "privacy"), (3, 30, "privacy"), (4, 40, "quality")], "k int, entry int, failure string")
     prior = spark.createDataFrame([(2, 2, "evidence", True), (3, 3, "inactive", True), (5, 5, "lead", True), (6, 6, "lead", False)], "k int, entry int, bucket string, usable boolean")
